@@ -8,6 +8,9 @@ Every round is written to the shared folder; the driver sees counts only.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +33,8 @@ def _double(jumps: DataFrame, links: int) -> tuple[DataFrame, bool]:
     return (more, True) if n <= MOST_JUMPS * links else (jumps, False)
 
 
-def propagate_min(links: DataFrame, labels: DataFrame) -> DataFrame:
-    """For each node (`id`, `label`) the least label among its ancestors and itself, along `src` to `dst`.
+def propagate_min(links: DataFrame, labels: DataFrame, names: Sequence[str] = ("label",)) -> DataFrame:
+    """For each node (`id`, `names`) the least of each label among its ancestors and itself, along `src` to `dst`; null is no label.
 
     Jumps of 2^k links double each round; it ends when no link would change a label, so cycles do no harm.
     """
@@ -39,12 +42,13 @@ def propagate_min(links: DataFrame, labels: DataFrame) -> DataFrame:
     jumps, growing = links, True
     while True:
         step = (jumps if jumps is links else links.unionByName(jumps)).join(labels.withColumnRenamed("id", "src"), "src")
-        best = step.groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("_best"))
-        new = labels.join(best, "id", "left")
-        new = materialize(new.select("id", F.least("label", "_best").alias("label"), (F.col("_best") < F.col("label")).alias("_moved")), "labels")
-        moved = new.where("_moved").limit(1).count()
-        labels = new.select("id", "label")
-        if not moved:
+        best = step.groupBy(F.col("dst").alias("id")).agg(*(F.min(c).alias(f"_b_{c}") for c in names))
+        less = lambda c: F.coalesce(F.col(f"_b_{c}") < F.col(c), F.col(f"_b_{c}").isNotNull() & F.col(c).isNull())
+        moved = reduce(lambda a, b: a | b, map(less, names))
+        new = materialize(labels.join(best, "id", "left").select("id", *(F.least(c, f"_b_{c}").alias(c) for c in names), moved.alias("_moved")), "labels")
+        changed = new.where("_moved").limit(1).count()
+        labels = new.select("id", *names)
+        if not changed:
             return labels
         if growing:
             jumps, growing = _double(jumps, n)
