@@ -56,23 +56,26 @@ class BucketedTable:
         schema = StructType.fromJson(m["schema"])
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def apply(self, deciding: DataFrame, merge) -> list[int]:
+    def apply(self, deciding: DataFrame, merge, batch: int | None = None) -> list[int]:
         """Merge `deciding` (one row per key) into the touched buckets and commit; the buckets rewritten come back.
 
         `merge(base, changes)` gets both sides of the touched buckets and returns rows of the base's schema. The bucket
-        numbers are all that the driver sees, as many as there are buckets at most.
+        numbers are all that the driver sees, as many as there are buckets at most. `batch` is recorded in the manifest.
         """
         m = self.manifest()
         at = bucket_of(self.keys, m["buckets"])
         touched = sorted(r[0] for r in deciding.select(at.alias("b")).distinct().collect())
+        mark = {} if batch is None else {"batch": batch}
         if not touched:
+            if mark:
+                self._commit({**m, **mark, "generation": m["generation"] + 1})
             return []
         base = self.read(touched)
         new = merge(base, deciding).select(*base.columns).withColumn("_bucket", at)
         generation = m["generation"] + 1
         written = self._write(new, generation)
         folders = {b: f for b, f in m["folders"].items() if int(b) not in set(touched)} | written
-        self._commit({**m, "generation": generation, "folders": folders})
+        self._commit({**m, **mark, "generation": generation, "folders": folders})
         return touched
 
 
@@ -95,23 +98,24 @@ def deciding_changes(changes: DataFrame, keys: Sequence[str], version: str, dele
 def merge_versions(keys: Sequence[str], values: Sequence[str] = ()):
     """A merge for `BucketedTable.apply`: a change takes effect if its version, plus 1 for a delete, exceeds the base's (0 without one).
 
-    The base has `version`, `is_deleted`, `seq`, `values`. An element that a change decides has its values (null if deleted) and
-    the change's seq; others keep their row, with a null seq. A change that creates nothing new and lacks effect adds no row.
+    The base has `version`, `is_deleted`, `seq` (of the change that set the row, null for an original one), `values`. Against a row that a
+    change has set, the order of `deciding_changes` holds instead: a change that comes late, or again, in another batch leaves
+    what all of them at once would have left. An element that a change decides takes its values (null if deleted) and its seq.
+    A change without effect on anything adds no row.
     """
 
     def merge(base: DataFrame, changes: DataFrame) -> DataFrame:
         b, c = base.alias("b"), changes.alias("c")
         joined = b.join(c, [F.col(f"b.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys], "full_outer")
-        reached = F.col("c.version") + F.col("c.is_delete").cast("int")
-        effect = F.coalesce(reached > F.coalesce(F.col("b.version"), F.lit(0)), F.lit(False))
+        original = F.col("c.version") + F.col("c.is_delete").cast("int") > F.coalesce(F.col("b.version"), F.lit(0))
+        same = F.col("c.version") == F.col("b.version")
+        sooner = (F.col("c.is_delete") & ~F.col("b.is_deleted")) | ((F.col("c.is_delete") == F.col("b.is_deleted")) & (F.col("c.seq") < F.col("b.seq")))
+        effect = F.coalesce(F.when(F.col("b.seq").isNull(), original).otherwise((F.col("c.version") > F.col("b.version")) | (same & sooner)), F.lit(False))
         there = F.col("b.is_deleted").isNotNull() | effect
         pick = lambda name: F.when(effect, F.when(~F.col("c.is_delete"), F.col(f"c.{name}"))).otherwise(F.col(f"b.{name}")).alias(name)
+        either = lambda now, name: F.when(effect, F.col(f"c.{now}")).otherwise(F.col(f"b.{name}")).alias(name)
         return joined.where(there).select(
-            *(F.coalesce(f"b.{k}", f"c.{k}").alias(k) for k in keys),
-            F.when(effect, F.col("c.version")).otherwise(F.col("b.version")).alias("version"),
-            F.when(effect, F.col("c.is_delete")).otherwise(F.col("b.is_deleted")).alias("is_deleted"),
-            F.when(effect, F.col("c.seq")).alias("seq"),
-            *(pick(v) for v in values),
+            *(F.coalesce(f"b.{k}", f"c.{k}").alias(k) for k in keys), either("version", "version"), either("is_delete", "is_deleted"), either("seq", "seq"), *(pick(v) for v in values)
         )
 
     return merge

@@ -2,30 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoweft.operators import hierarchy, nearby, orphans, upsert, wide
+from geoweft.model import Graph, member_type
+from geoweft.operators import changeset, hierarchy, nearby, orphans, upsert, wide
 from geoweft.operators.current import current_narrow, current_wide, flag
-from geoweft.session import table
-
-TYPES = {"n": "node", "w": "way", "r": "relation"}
-
-
-def member_type(name: str) -> Column:
-    """node, way or relation by the first letter of a member type, any case; null for others."""
-    letter = F.lower(F.substring(F.col(name), 1, 1))
-    return F.when(letter == "n", "node").when(letter == "w", "way").when(letter == "r", "relation")
-
-
-def is_delete() -> Column:
-    """A change is a delete by its flag, or by its op trimmed and in lower case."""
-    return flag("is_deleted") | F.coalesce(F.lower(F.trim("op")) == "delete", F.lit(False))
+from geoweft.session import materialize, table
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Existing nodes within 200 units of a changed node, and the load areas that contain it."""
-    changed = table(spark, folder, "changes").where((F.col("ftype") == "node") & ~is_delete() & F.col("x").isNotNull() & F.col("y").isNotNull())
+    changed = table(spark, folder, "changes").where((F.col("ftype") == "node") & ~changeset.stated_delete() & F.col("x").isNotNull() & F.col("y").isNotNull())
     points = changed.select("seq", "id", "x", "y").distinct()
     nodes = current_narrow(table(spark, folder, "nodes"), ["x", "y"]).where("not is_deleted")
     near = nearby.near_pairs(points, ["seq", "id"], nodes, ["id"], 200).where("not (p.id <=> s.id)").select(F.lit("near").alias("kind"), F.col("p.seq").alias("seq"), F.col("s.id").alias("other_id"))
@@ -54,15 +42,9 @@ def p3_wide(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _changes_applied(spark: SparkSession, folder: str) -> upsert.BucketedTable:
-    keys = ["ftype", "id"]
-    base = None
-    for name, ftype in (("nodes", "node"), ("ways", "way"), ("relations", "relation")):
-        part = current_narrow(table(spark, folder, name), []).select(F.lit(ftype).alias("ftype"), "id", "version", "is_deleted", F.lit(None).cast("long").alias("seq"))
-        base = part if base is None else base.unionByName(part)
-    store = upsert.BucketedTable.create(base, keys)
-    deletes = is_delete() | ((F.col("ftype") == "way") & (F.coalesce(F.size("refs"), F.lit(0)) < 2)) | ((F.col("ftype") == "relation") & (F.coalesce(F.size("members"), F.lit(0)) < 1))
-    deciding = upsert.deciding_changes(table(spark, folder, "changes").withColumn("_deletes", deletes), keys, "version", "_deletes", "seq")
-    store.apply(deciding, upsert.merge_versions(keys))
+    base = changeset.base_versions(Graph.load(spark, folder)).withColumn("seq", F.lit(None).cast("long"))
+    store = upsert.BucketedTable.create(base, changeset.KEYS)
+    store.apply(changeset.latest(table(spark, folder, "changes")), upsert.merge_versions(changeset.KEYS))
     return store
 
 
@@ -102,7 +84,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     relations = current_wide(tables["relation"], ["ts", "members"]).where("not is_deleted")
     wide_refs = ways.select(F.lit("ways").alias("tbl"), F.col("id").alias("src_id"), "ts", F.lit("node").alias("ref_type"), F.explode(F.array_distinct("node_ids")).alias("ref_id"))
     members = F.array_distinct(F.transform("members", lambda m: F.struct(F.lower(F.substring(m["type"], 1, 1)).alias("t"), m["ref"].alias("ref"))))
-    member_refs = relations.select("id", "ts", F.explode(members).alias("m")).select(F.lit("relations").alias("tbl"), F.col("id").alias("src_id"), "ts", member_type("m.t").alias("ref_type"), F.col("m.ref").alias("ref_id"))
+    member_refs = relations.select("id", "ts", F.explode(members).alias("m")).select(F.lit("relations").alias("tbl"), F.col("id").alias("src_id"), "ts", member_type(F.col("m.t")).alias("ref_type"), F.col("m.ref").alias("ref_id"))
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     refs = wide_refs.unionByName(member_refs).select("tbl", "src_id", "ref_type", "ref_id", us.alias("ref_us"), F.coalesce(orphans.month_number(us), F.lit(orphans.UNKNOWN)).alias("period"))
     month = F.coalesce(F.date_format(orphans.utc_date(F.col("ref_us")), "yyyy-MM"), F.lit("unknown"))
@@ -119,8 +101,6 @@ def _relation_links(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every way down from each root of the relation hierarchies, and the relations on cycles."""
-    from geoweft.session import materialize
-
     links = materialize(_relation_links(spark, folder), "links")
     cycles = hierarchy.cycle_members(links)
     paths = hierarchy.root_paths(links, cycles)
