@@ -86,7 +86,8 @@ def assign_bounds(features: DataFrame, kept: DataFrame, levels: list[int]) -> Da
     placed = features.withColumn("_cover", covering_tile(levels))
     part = lambda i: F.split_part("_cover", F.lit("/"), F.lit(i)).cast("int")
     covers = placed.select("_cover").distinct().select("_cover", part(1).alias("_z"), part(2).alias("_c"), part(3).alias("_r"))
-    up = F.explode(F.filter(F.array(*(F.struct(F.lit(z).alias("zoom"), F.shiftright("_c", F.col("_z") - z).alias("col"), F.shiftright("_r", F.col("_z") - z).alias("row")) for z in levels)), lambda t: t["zoom"] <= F.col("_z")))
+    up_by = lambda c, z: F.call_function("shiftright", c, F.col("_z") - z)
+    up = F.explode(F.filter(F.array(*(F.struct(F.lit(z).alias("zoom"), up_by(F.col("_c"), z).alias("col"), up_by(F.col("_r"), z).alias("row")) for z in levels)), lambda t: t["zoom"] <= F.col("_z")))
     rows = covers.select("_cover", "_z", up.alias("a")).select("_cover", "a.*")
     deepest = rows.join(kept.select("zoom", "col", "row"), ["zoom", "col", "row"]).groupBy("_cover").agg(F.max(F.struct("zoom", "col", "row")).alias("t"))
     names = deepest.select("_cover", tile_name(F.col("t.zoom"), F.col("t.col"), F.col("t.row")).alias("tile"))
