@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import datetime
 import uuid
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, fields
 
 import numpy as np
 import pandas as pd
@@ -270,6 +270,32 @@ class Store:
         return n
 
 
+    def graph(self) -> Graph:
+        """The elements of the store as a graph, each of version 0. Ways need their node ids, so the store must keep them."""
+        if self.meta()["waynode_ids"] != "True":
+            raise StoreError("the store has no node ids of ways; build it with waynode_ids")
+        f = self.table("features")
+        real = F.map_filter("tags", lambda k, v: ~k.startswith("geodesk:")).alias("tags")
+        one = (F.lit(0).alias("version"), F.lit(False).alias("is_deleted"))
+        tagged = f.where("ftype = 'node'").select("id", real)
+        nodes = self.table("nodes").select("id", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y")).join(tagged, "id", "left").select("id", *one, "x", "y", "tags")
+        kind = lambda t: f.where(F.col("ftype") == t)
+        return Graph(nodes, kind("way").select("id", *one, "node_ids", real), kind("relation").select("id", *one, "members", real))
+
+    def update(self, changes: DataFrame, path: str, revision: dict[str, str] | None = None) -> Store:
+        """The store after changes, written to `path`: the same as a build from the merged elements. The store must be updatable."""
+        meta = self.meta()
+        if meta["updatable"] != "True":
+            raise StoreError("the store was not built to be updated")
+        from geoweft.operators import changeset
+
+        before = self.graph()
+        eff = materialize(changeset.effective(before, changes), "effective")
+        kinds = {f.name: f.type for f in fields(BuildOptions)}
+        options = BuildOptions(**{k: (meta[k] == "True") if t == "bool" else int(meta[k]) if t == "int" else meta[k] for k, t in kinds.items()})
+        return Store.build(changeset.future(before, eff), path, options, {"guid": meta["guid"], "revision": str(int(meta["revision"]) + 1)} | (revision or {}))
+
+
 def rebuild(graph: Graph, options: BuildOptions | None = None) -> Store:
     """A store in the shared folder, for queries that need one for a moment."""
     return Store.build(graph, scratch_path(graph.tables["node"].sparkSession, "store"), options)
