@@ -11,10 +11,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from geoweft.session import materialize
+from geoweft.session import materialize, materialize_counted
 
 #: A set of jumps may have this many times the links; beyond it jumps no longer double and rounds go on with their stride.
 MOST_JUMPS = 8
@@ -28,8 +28,7 @@ def distinct_links(links: DataFrame, parent: str, child: str) -> DataFrame:
 def _double(jumps: DataFrame, links: int) -> tuple[DataFrame, bool]:
     """Pairs two jumps apart, and whether they were doubled at all: not beyond MOST_JUMPS times the links."""
     a, b = jumps.select("src", F.col("dst").alias("mid")), jumps.select(F.col("src").alias("mid"), "dst")
-    more = materialize(a.join(b, "mid").select("src", "dst").distinct(), "jumps")
-    n = more.count()
+    more, n = materialize_counted(a.join(b, "mid").select("src", "dst").distinct(), "jumps")
     return (more, True) if n <= MOST_JUMPS * links else (jumps, False)
 
 
@@ -45,10 +44,11 @@ def propagate_min(links: DataFrame, labels: DataFrame, names: Sequence[str] = ("
         best = step.groupBy(F.col("dst").alias("id")).agg(*(F.min(c).alias(f"_b_{c}") for c in names))
         less = lambda c: F.coalesce(F.col(f"_b_{c}") < F.col(c), F.col(f"_b_{c}").isNotNull() & F.col(c).isNull())
         moved = reduce(lambda a, b: a | b, map(less, names))
-        new = materialize(labels.join(best, "id", "left").select("id", *(F.least(c, f"_b_{c}").alias(c) for c in names), moved.alias("_moved")), "labels")
-        changed = new.where("_moved").limit(1).count()
-        labels = new.select("id", *names)
-        if not changed:
+        seen = Observation()
+        new = labels.join(best, "id", "left").select("id", *(F.least(c, f"_b_{c}").alias(c) for c in names), moved.alias("_moved"))
+        new = new.observe(seen, F.count(F.when(F.col("_moved"), 1)).alias("n"))
+        labels = materialize(new.select("id", *names), "labels")
+        if not seen.get["n"]:
             return labels
         if growing:
             jumps, growing = _double(jumps, n)
@@ -63,25 +63,23 @@ def _within(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return links.join(nodes.withColumnRenamed("id", "src"), "src", "left_semi").join(nodes.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst")
 
 
-def _trim(links: DataFrame) -> DataFrame:
-    """Drop links that cannot be on a cycle: round k drops nodes that lack a way of 2^k links to or from them.
+def _trim(links: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """The links left and their number, from `n`: drop links that cannot be on a cycle: round k drops nodes that lack a way of 2^k links to or from them.
 
     It ends when a round drops nothing; what is left holds all cycles, and perhaps ways between them.
     """
-    n = links.count()
     jumps, growing = links, True
     while n:
         keep = jumps.select(F.col("src").alias("id")).distinct().join(jumps.select(F.col("dst").alias("id")).distinct(), "id", "left_semi")
-        kept = materialize(_within(links, keep), "trim")
-        m = kept.count()
+        kept, m = materialize_counted(_within(links, keep), "trim")
         if m == n:
-            return links
+            break
         links, n = kept, m
         if growing and n:
-            jumps, growing = _double(materialize(_within(jumps, keep), "jumps"), n)
+            jumps, growing = _double(_within(jumps, keep), n)
         if not growing:
             jumps = links
-    return links
+    return links, n
 
 
 def cycle_members(links: DataFrame) -> DataFrame:
@@ -90,23 +88,22 @@ def cycle_members(links: DataFrame) -> DataFrame:
     Nodes take the least id that reaches them as colour. The node whose colour is its own id is the least of its component, which
     is what of that colour leads back to it; all colours go at once. What is left is trimmed and goes again, until nothing is.
     """
-    links = materialize(links, "links")
+    links, n = materialize_counted(links, "links")
     out = None
-    rest = _trim(links)
-    while rest.limit(1).count():
+    rest, n = _trim(links, n)
+    while n:
         colours = propagate_min(rest, _nodes(rest).withColumn("label", F.col("id")))
         ends = rest.join(colours.select(F.col("id").alias("src"), F.col("label").alias("_a")), "src").join(colours.select(F.col("id").alias("dst"), F.col("label").alias("_b")), "dst")
         inner = materialize(ends.where("_a = _b").select(F.col("dst").alias("src"), F.col("src").alias("dst")), "inner")
         # Backwards from the node that is its own colour: 0 reaches it, 1 does not.
         back = propagate_min(inner, colours.select("id", F.when(F.col("id") == F.col("label"), 0).otherwise(1).alias("label")))
-        part = colours.join(back.where("label = 0").select("id"), "id").select("id", F.col("label").alias("root_id"))
+        part = materialize(colours.join(back.where("label = 0").select("id"), "id").select("id", F.col("label").alias("root_id")), "component")
         loops = rest.where("src = dst").select(F.col("src").alias("root_id")).distinct()
-        proper = part.join(part.where("id <> root_id").select("root_id").union(loops).distinct(), "root_id", "left_semi").select("id", "root_id")
-        proper, part = materialize(proper, "cycles"), materialize(part, "component")
+        proper = materialize(part.join(part.where("id <> root_id").select("root_id").union(loops).distinct(), "root_id", "left_semi").select("id", "root_id"), "cycles")
         out = proper if out is None else out.unionByName(proper)
         ids = part.select("id")
         rest = rest.join(ids.withColumnRenamed("id", "src"), "src", "left_anti").join(ids.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst")
-        rest = _trim(materialize(rest, "rest"))
+        rest, n = _trim(*materialize_counted(rest, "rest"))
     return out if out is not None else links.select(F.col("src").alias("id"), F.col("src").alias("root_id")).limit(0)
 
 
@@ -125,12 +122,12 @@ def root_paths(links: DataFrame, cycles: DataFrame | None = None) -> DataFrame:
         reached = propagate_min(steps, start.select("id", F.coalesce("_r", F.lit(1)).alias("label")))
         steps = steps.join(reached.where("label = 0").select(F.col("id").alias("src")), "src", "left_semi")
     paths = roots.select(F.col("src").alias("root_id"), F.col("src").alias("id"), F.array("src").alias("path"))
-    segments = materialize(steps.select("src", "dst", F.array("src", "dst").alias("seg")), "segments")
-    while segments.limit(1).count():
+    segments, n = materialize_counted(steps.select("src", "dst", F.array("src", "dst").alias("seg")), "segments")
+    while n:
         tail = segments.select(F.col("src").alias("_at"), F.col("dst").alias("_to"), F.expr("slice(seg, 2, size(seg) - 1)").alias("_tail"))
         on = F.col("id") == F.col("_at")
         longer = paths.join(tail, on & ~F.arrays_overlap("path", "_tail")).select("root_id", F.col("_to").alias("id"), F.concat("path", "_tail").alias("path"))
-        paths = materialize(paths.unionByName(longer), "paths")
+        paths = paths.unionByName(materialize(longer, "paths"))
         joined = segments.join(tail, (F.col("dst") == F.col("_at")) & ~F.arrays_overlap("seg", "_tail"))
-        segments = materialize(joined.select("src", F.col("_to").alias("dst"), F.concat("seg", "_tail").alias("seg")), "segments")
+        segments, n = materialize_counted(joined.select("src", F.col("_to").alias("dst"), F.concat("seg", "_tail").alias("seg")), "segments")
     return paths

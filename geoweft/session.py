@@ -8,7 +8,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _OWN_DIRS: list[str] = []
 
@@ -64,6 +65,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """As `materialize`, with the number of rows, counted while they are written."""
+    seen = Observation()
+    written = materialize(df.observe(seen, F.count(F.lit(1)).alias("n")), label)
+    return written, seen.get["n"]
+
+
 def filesystem(spark: SparkSession, path: str):
     """Hadoop file system and path object of `path`."""
     jvm = spark._jvm
