@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from geoweft.session import filesystem, read_json, scratch_path, write_json
 
@@ -70,11 +71,15 @@ def sparse_delta(rows: DataFrame, keys: Sequence[str], attribute: str, value: st
     cells = F.struct(*(F.col(v) for v in version), F.col(value).alias("_v"))
     kept = rows.where(k.isin(wanted)).where(" and ".join(f"`{c}` is not null" for c in keys)) if wanted else rows.limit(0)
     picked = kept.select(*keys, *also, k.alias("_k"), cells.alias("_cell"))
+    if not columns:
+        return picked.select(*keys, *also)
     return picked.groupBy(*keys, *also).agg(*(F.max(F.when(F.col("_k") == c.attribute, F.col("_cell"))).alias(c.name) for c in columns))
 
 
 def merge_runs(runs: DataFrame, keys: Sequence[str], columns: list[WideColumn]) -> DataFrame:
     """Compact rows of several runs: per entity and cell the latest version."""
+    if not columns:
+        return runs.select(*keys).distinct()
     return runs.groupBy(*keys).agg(*(F.max(c.name).alias(c.name) for c in columns))
 
 
@@ -89,10 +94,11 @@ class WideLog:
         fs, where = filesystem(self.spark, self.path)
         names = [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
         numbers = [int(n[9:-5]) for n in names if n.startswith("manifest-") and n.endswith(".json")]
-        return read_json(self.spark, f"{self.path}/manifest-{max(numbers)}.json") if numbers else {"number": 0, "runs": []}
+        return read_json(self.spark, f"{self.path}/manifest-{max(numbers)}.json") if numbers else {"number": 0, "runs": [], "schema": None}
 
-    def _commit(self, was: dict, runs: list[str]) -> None:
-        write_json(self.spark, f"{self.path}/manifest-{was['number'] + 1}.json", {"number": was["number"] + 1, "runs": runs})
+    def _commit(self, was: dict, runs: list[str], schema: StructType) -> None:
+        held = [f for f in schema.jsonValue()["fields"] if f["name"] in {*self.keys, *(c.name for c in self.columns)}]
+        write_json(self.spark, f"{self.path}/manifest-{was['number'] + 1}.json", {"number": was["number"] + 1, "runs": runs, "schema": {"type": "struct", "fields": held}})
 
     def _write(self, run: DataFrame, split: str | None = None) -> list[str]:
         name = f"run-{uuid.uuid4().hex}"
@@ -104,14 +110,16 @@ class WideLog:
         """Add rows as one sparse delta; with `batch`, a column of few values, as one run per value, all made in a single pass."""
         delta = sparse_delta(rows, self.keys, attribute, value, version, self.columns, [batch] if batch else [])
         was = self._manifest()
-        self._commit(was, [*was["runs"], *self._write(delta, batch)])
+        self._commit(was, [*was["runs"], *self._write(delta, batch)], delta.schema)
 
     def read(self) -> DataFrame:
         """The merged state: `keys` and a versioned cell per column."""
-        runs = self._manifest()["runs"]
+        manifest = self._manifest()
+        runs = manifest["runs"]
         if not runs:
             raise ValueError("the log has no runs")
-        parts = [self.spark.read.parquet(f"{self.path}/{r}").select(*self.keys, *(c.name for c in self.columns)) for r in runs]
+        schema = StructType.fromJson(manifest["schema"])
+        parts = [self.spark.read.schema(schema).parquet(f"{self.path}/{r}").select(*self.keys, *(c.name for c in self.columns)) for r in runs]
         whole = parts[0]
         for p in parts[1:]:
             whole = whole.unionByName(p)
@@ -120,7 +128,8 @@ class WideLog:
     def compact(self) -> None:
         """Replace all runs by one; readers of the former manifest keep their files."""
         was = self._manifest()
-        self._commit(was, self._write(self.read()))
+        merged = self.read()
+        self._commit(was, self._write(merged), merged.schema)
 
 
 def typed_wide(state: DataFrame, keys: Sequence[str], columns: list[WideColumn]) -> DataFrame:
