@@ -105,7 +105,7 @@ def _codes(values: list, shared_only: bool = False) -> list[int]:
 
 
 def _pack_block(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["doc_id", "piece", "first_token"], kind="stable")
+    rows = rows.sort_values(["doc_id", "piece", "nth", "n_tokens"], kind="stable")
     kind, block, capacity = rows["container_kind"].iloc[0], int(rows["block"].iloc[0]), int(rows["capacity_tokens"].iloc[0])
     none = lambda s: [None if pd.isna(v) else v for v in s]
     sizes = rows["n_tokens"].tolist()
@@ -117,7 +117,7 @@ def _pack_block(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def pieces(items: DataFrame, containers: DataFrame) -> DataFrame:
-    """Items of `doc_id`, `source`, `cluster`, `n_tokens`, cut only where they exceed a capacity alone: into whole containers and a rest.
+    """Items of `doc_id`, `source`, `cluster`, `nth` (of equal rows), `n_tokens`, cut only where they exceed a capacity alone: into whole containers and a rest.
 
     `containers` (container_kind, capacity_tokens) is read by the driver; it may have at most 1,000 rows. Kinds without a
     positive capacity are left out, as are items of null size; an item of no tokens is a piece of no tokens.
@@ -126,13 +126,14 @@ def pieces(items: DataFrame, containers: DataFrame) -> DataFrame:
     if len(kinds) > 1000:
         raise ValueError("more than 1,000 container kinds")
     if not kinds:
-        return items.limit(0).select(F.lit("").alias("container_kind"), F.lit(0).cast("long").alias("capacity_tokens"), "doc_id", "source", "cluster", F.lit(0).alias("piece"), F.lit(0).cast("long").alias("first_token"), "n_tokens")
+        return items.limit(0).select(F.lit("").alias("container_kind"), F.lit(0).cast("long").alias("capacity_tokens"), "doc_id", "source", "cluster", "nth", F.col("n_tokens").alias("whole_tokens"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("first_token"), "n_tokens")
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("container_kind"), F.lit(c).cast("long").alias("capacity_tokens")) for k, c in kinds)))
-    rows = items.where("n_tokens is not null").select("*", each.alias("_k")).select("doc_id", "source", "cluster", "n_tokens", "_k.*")
-    last = F.greatest(F.ceil(F.col("n_tokens") / F.col("capacity_tokens")), F.lit(1)) - 1
+    rows = items.where("n_tokens is not null").select("*", each.alias("_k")).select("doc_id", "source", "cluster", "nth", F.col("n_tokens").alias("whole_tokens"), "_k.*")
+    last = F.greatest(F.ceil(F.col("whole_tokens") / F.col("capacity_tokens")), F.lit(1)) - 1
     cut = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("_p"))
     start = F.col("_p") * F.col("capacity_tokens")
-    return cut.select("container_kind", "capacity_tokens", "doc_id", "source", "cluster", F.col("_p").cast("int").alias("piece"), start.alias("first_token"), F.least(F.col("n_tokens") - start, F.col("capacity_tokens")).alias("n_tokens"))
+    size = F.least(F.col("whole_tokens") - start, F.col("capacity_tokens"))
+    return cut.select("container_kind", "capacity_tokens", "doc_id", "source", "cluster", "nth", "whole_tokens", F.col("_p").cast("int").alias("piece"), start.alias("first_token"), size.alias("n_tokens"))
 
 
 def pack(items: DataFrame, containers: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
@@ -144,9 +145,12 @@ def pack(items: DataFrame, containers: DataFrame, block_items: int = BLOCK_ITEMS
     Repeated rows are items of their own.
     """
     blocks = max(1, math.ceil(items.count() / block_items))
-    cut = pieces(items, containers)
+    # Repeated rows are numbered, so that each has containers of its own.
+    columns = ["doc_id", "source", "cluster", "n_tokens"]
+    each = items.groupBy(*columns).agg(F.count("*").alias("_n")).select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), "_n")).alias("nth"))
+    cut = pieces(each, containers)
     full = cut.where("n_tokens = capacity_tokens").select(
-        "container_kind", F.concat_ws("-", "container_kind", F.lit("full"), "doc_id", "piece").alias("container_id"), "capacity_tokens", "doc_id", "piece", "first_token", "n_tokens", F.lit(0).alias("slot"), F.col("n_tokens").alias("used_tokens")
+        "container_kind", F.concat_ws("-", "container_kind", F.lit("full"), "doc_id", "piece", "nth", F.hex(F.hash("source", "cluster", "whole_tokens"))).alias("container_id"), "capacity_tokens", "doc_id", "piece", "first_token", "n_tokens", F.lit(0).alias("slot"), F.col("n_tokens").alias("used_tokens")
     )
     rest = cut.where("n_tokens < capacity_tokens").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(blocks)).cast("int"))
     return full.unionByName(rest.groupBy("container_kind", "block").applyInPandas(_pack_block, PLACED))
