@@ -82,7 +82,7 @@ def box_triangles(boxes: DataFrame, region: str, bounds: str, period: int = WORL
     return boxes.where(F.col(region).isNotNull()).select(F.col(region).cast("long").alias("region"), *fields).mapInPandas(rows, TRIANGLES)
 
 
-def inside_pairs(points: DataFrame, point_key: str, triangles: DataFrame, broadcast_bound: int = 200_000, leaf_size: int = 4096, sample: int = 100_000) -> DataFrame:
+def inside_pairs(points: DataFrame, point_key: str, triangles: DataFrame, broadcast_bound: int = 50_000, leaf_size: int = 4096, sample: int = 100_000) -> DataFrame:
     """Pairs (`point_key`, `region`): the regions of which a triangle holds the point, edges included, once per point row.
 
     Up to `broadcast_bound` triangles (of 56 bytes) are counted, collected and sent to all tasks as one hierarchy. Beyond it the

@@ -102,7 +102,8 @@ class WideLog:
 
     def _write(self, run: DataFrame, split: str | None = None) -> list[str]:
         name = f"run-{uuid.uuid4().hex}"
-        out = run.sortWithinPartitions(*self.keys).write
+        # Rebalanced, so that each run has files of a good size however many tasks and batches there are.
+        out = (run.hint("rebalance", split) if split else run.hint("rebalance")).sortWithinPartitions(*self.keys).write
         (out.partitionBy(split) if split else out).parquet(f"{self.path}/{name}")
         return [name]
 
