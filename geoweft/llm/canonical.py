@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Letters of other scripts and the Latin letters of the same shape.
-CYRILLIC = "А В Е З К М Н О Р С Т У Х Ѕ І Ј Ԛ Ԝ Ү Ӏ Һ а е о р с у х ѕ і ј ԁ ԛ ԝ һ ӏ ү ѵ"
-CYRILLIC_AS = "A B E З K M H O P C T Y X S I J Q W Y I Һ a e o p c y x s i j d q w h l y v"
+CYRILLIC = "А В Е К М Н О Р С Т У Х Ѕ І Ј Ԛ Ԝ Ү Ӏ а е о р с у х ѕ і ј ԁ ԛ ԝ һ ӏ ѵ"
+CYRILLIC_AS = "A B E K M H O P C T Y X S I J Q W Y I a e o p c y x s i j d q w h l v"
 GREEK = "Α Β Ε Ζ Η Ι Κ Μ Ν Ο Ρ Τ Υ Χ Ϲ Ϳ ο ν ϲ ϳ"
 GREEK_AS = "A B E Z H I K M N O P T Y X C J o v c j"
 # Invisible characters that are neither format nor control characters (joiners, fillers, variation selectors).
