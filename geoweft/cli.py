@@ -131,7 +131,8 @@ def _query(args, spark, store, name, query, where, **_) -> int:
         if not output:
             raise ValueError(f"{name} needs an output file")
         graph = store.graph()
-        below = closure.closure(graph, found.select("ftype", "id"), closure.complete_types(args.complete_relations))
+        near = store.features("*", *where).select("ftype", "id") if any(where) else None
+        below = closure.closure(graph, found.select("ftype", "id"), closure.complete_types(args.complete_relations), near)
         rows = osm.export_rows(graph, below, keys)
         osm.write_xml(rows, output) if name == "xml" else osm.write_pbf(rows, output)
         return 0
@@ -151,14 +152,33 @@ def _query(args, spark, store, name, query, where, **_) -> int:
 def _map(args, spark, store, where, **_) -> int:
     from geoweft.functions.text import parse_colour
 
-    layers = []
-    for text in args.layers or ["*"]:
+    layers = [] if args.layers else [("gray", _boxes(store.missing_tiles()))]
+    for text in args.layers:
         colour, query = parse_colour(text)
         layers.append((colour, store.features(query, *where).where("size(parts) > 0")))
     formats.map_html(layers, args.output, args.popup, args.tooltip, args.link)
     return 0
 
 
+def _boxes(tiles):
+    """Tiles as features: their boxes as polygons."""
+    from pyspark.sql import functions as F
+
+    from geoweft.functions.mercator import tile_box
+    from geoweft.operators import tiling
+
+    out = None
+    for z in range(13):
+        x0, y0, x1, y1 = tile_box(z, F.col("col"), F.col("row"))
+        ring = F.array(*(F.struct(x.cast("long").alias("x"), y.cast("long").alias("y")) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0))))
+        part = tiles.where(F.col("zoom") == z).select(
+            F.lit("tile").alias("ftype"), F.lit(0).cast("long").alias("id"), F.create_map(F.lit("tile"), tiling.tile_name(F.col("zoom"), F.col("col"), F.col("row"))).alias("tags"),
+            F.lit("polygon").alias("whole"), F.array(F.struct(F.lit("polygon").alias("kind"), F.array(ring).alias("rings"))).alias("parts"),
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def _info(args, spark, store, **_) -> int:
     if args.tiles:
         for r in store.tile_stats().orderBy("zoom", "col", "row").toLocalIterator():

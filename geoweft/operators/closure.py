@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoweft.functions import tags as T
@@ -21,18 +21,23 @@ def complete_types(text: str) -> tuple[str, ...] | None:
     return () if text == "none" else tuple(t.strip() for t in text.split(",") if t.strip())
 
 
-def closure(graph: Graph, hits: DataFrame, complete: tuple[str, ...] | None = None, member_filter: Column | None = None) -> DataFrame:
+def closure(graph: Graph, hits: DataFrame, complete: tuple[str, ...] | None = None, allowed: DataFrame | None = None) -> DataFrame:
     """(`ftype`, `id`) of `hits` and of all elements below them, each once, with `hit`: whether it was asked for.
 
     Relations of the types in `complete` (None: all) bring their members, relations among them theirs in turn; ways bring their nodes.
-    Members of other relations come only where `member_filter`, a predicate on (mtype, ref), holds; None lets none through.
+    Members of other relations come only if they are among `allowed` (ftype, id: those in the area asked for, say); None lets none through.
     """
     hits = materialize(hits.select("ftype", "id").distinct(), "hits")
     members = assemble.resolved_members(graph).where("found")
     if complete is not None:
         kind = T.tag(F.col("tags"), "type")
         whole = graph.relations("tags").select("id", F.coalesce(kind.isin(*complete), F.lit(False)).alias("_whole")) if complete else graph.ids("relation").withColumn("_whole", F.lit(False))
-        members = members.join(whole, "id").where(F.col("_whole") | (F.lit(False) if member_filter is None else F.coalesce(member_filter, F.lit(False))))
+        members = members.join(whole, "id")
+        if allowed is None:
+            members = members.where("_whole")
+        else:
+            near = allowed.select(F.col("ftype").alias("mtype"), F.col("id").alias("ref"), F.lit(True).alias("_near")).distinct()
+            members = members.join(near, ["mtype", "ref"], "left").where("_whole or _near")
     members = materialize(members.select("id", "mtype", "ref").distinct(), "members")
     start = graph.ids("relation").join(hits.where("ftype = 'relation'").select("id", F.lit(0).alias("_l")), "id", "left").select("id", F.coalesce("_l", F.lit(1)).alias("label"))
     links = members.where("mtype = 'relation'").select(F.col("id").alias("src"), F.col("ref").alias("dst"))

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoweft.session import filesystem, partitions, read_json, scratch_path, write_json
+from geoweft.session import filesystem, materialize, partitions, read_json, scratch_path, write_json
 
 
 class BucketedTable:
@@ -64,6 +64,7 @@ class BucketedTable:
         """
         m = self.manifest()
         at = bucket_of(self.keys, m["buckets"])
+        deciding = materialize(deciding, "deciding")
         touched = sorted(r[0] for r in deciding.select(at.alias("b")).distinct().collect())
         mark = {} if batch is None else {"batch": batch}
         if not touched:

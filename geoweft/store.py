@@ -1,7 +1,7 @@
 """The feature store: built once from a graph, queried many times; saved to and loaded from bundles; checked and hashed.
 
 A store is a folder of Parquet tables: `features` (partitioned by index type n, w, a, r; sorted by tile and Hilbert position, so that row groups cover
-small boxes), `nodes` (all located nodes), `tiles`, `strings` and `meta`. A bundle has the same tables, for the tiles of an area.
+small boxes), `nodes` (all located nodes), `tiles` (those loaded), `catalog` (all of the build), `strings` and `meta`. A bundle has the same tables, for the tiles of an area.
 """
 
 from __future__ import annotations
@@ -90,7 +90,9 @@ class Store:
         nodes = graph.located_nodes()
         rollup = materialize(tiling.tile_rollup(tiling.cell_counts(nodes), levels), "rollup")
         kept = materialize(tiling.kept_tiles(rollup, o.min_tile_density, o.max_tiles), "tiles")
-        tiling.size_estimates(rollup, kept, levels).coalesce(1).write.parquet(f"{self.path}/tiles")
+        sized = materialize(tiling.size_estimates(rollup, kept, levels), "sized")
+        for name in ("catalog", "tiles"):
+            sized.coalesce(1).write.parquet(f"{self.path}/{name}")
         tiling.assign_points(nodes, kept, levels).repartitionByRange("tile", "id").sortWithinPartitions("tile", "id").write.parquet(f"{self.path}/nodes")
         found = T.categories(F.col("tags"), T.parse_indexed_keys(o.indexed_keys))
         f = features(graph, True, T.parse_area_rules(o.areas))
@@ -236,13 +238,21 @@ class Store:
         out(tiles.drop("tile")).parquet(f"{to}/tiles")
         out(self.table("features").join(names, "tile", "left_semi").sortWithinPartitions("itype", "tile", "hilbert")).partitionBy("itype").parquet(f"{to}/features")
         out(self.table("nodes").join(names, "tile", "left_semi")).parquet(f"{to}/nodes")
-        out(self.table("strings")).parquet(f"{to}/strings")
+        for name in ("catalog", "strings"):
+            out(self.table(name)).parquet(f"{to}/{name}")
         other._write_meta(self.meta())
         return other
 
-    def missing_tiles(self, bundle: Store) -> DataFrame:
-        """Tiles of a bundle that the store lacks."""
-        return bundle.table("tiles").join(self.table("tiles").select("zoom", "col", "row"), ["zoom", "col", "row"], "left_anti")
+    def missing_tiles(self) -> DataFrame:
+        """Tiles of the build that are not loaded, without those below another missing one."""
+        key = ["zoom", "col", "row"]
+        missing = self.table("catalog").join(self.table("tiles").select(*key), key, "left_anti")
+        levels = T.parse_zoom_levels(self.meta()["levels"])
+        up = lambda c, z: F.call_function("shiftright", F.col(c), F.col("zoom") - z).alias(c)
+        above = F.filter(F.array(*(F.struct(F.lit(z).alias("zoom"), up("col", z), up("row", z)) for z in levels)), lambda t: t["zoom"] < F.col("zoom"))
+        ancestors = missing.select(*key, F.explode(above).alias("a"))
+        hidden = ancestors.join(missing.select(F.struct(*key).alias("a")), "a", "left_semi").select(*key).distinct()
+        return missing.join(hidden, key, "left_anti")
 
     def load(self, bundle_path: str, bbox: tuple[float, ...] | None = None, rings: list[area.Ring] | None = None) -> int:
         """Add a bundle's tiles that are missing, of an area or all; the number of tiles added. A store that does not exist is made of them.

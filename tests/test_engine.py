@@ -221,6 +221,9 @@ def test_export_round_trip(graph, spark, tmp_path):
     whole = {(x.ftype, x.id): x.hit for x in closure.closure(graph, hits).collect()}
     assert whole["node", 4] is False and ("way", 9) in whole and ("way", 5) not in whole and whole["relation", 5] is True
     few = {(x.ftype, x.id) for x in closure.closure(graph, hits, ("multipolygon",)).collect()}
+    near = spark.createDataFrame([("node", 5), ("way", 2)], "ftype string, id long")
+    more = {(x.ftype, x.id) for x in closure.closure(graph, hits, ("multipolygon",), near).collect()}
+    assert more - few == {("node", 5)}
     assert ("node", 5) not in few and ("way", 13) in few and closure.complete_types("all") is None and closure.complete_types("none") == ()
     out = osm.export_rows(graph, closure.closure(graph, hits))
     assert osm.write_xml(out, str(tmp_path / "x.osm")) == len(whole)
@@ -313,7 +316,14 @@ def test_store_and_commands(graph, spark, tmp_path, folder, capsys):
     assert cli.main(["check", s], spark) == 0 and "No errors" in capsys.readouterr().out
     bundle, other = str(tmp_path / "bundle"), str(tmp_path / "other")
     assert cli.main(["save", s, bundle], spark) == 0
-    assert cli.main(["load", other, bundle, "-b", "0.1,0.1,0.2,0.2"], spark) == 0 and cli.main(["load", other, bundle], spark) == 0
+    assert cli.main(["load", other, bundle, "-b", "0.1,0.1,0.2,0.2"], spark) == 0
+    part = Store(spark, other)
+    have = {(t.zoom, t.col, t.row) for t in part.table("tiles").collect()}
+    lack = {(t.zoom, t.col, t.row) for t in store.table("tiles").collect()} - have
+    shown = {(t.zoom, t.col, t.row) for t in part.missing_tiles().collect()}
+    assert lack and shown <= lack and not any((z, c >> (a[0] - z), q >> (a[0] - z)) in shown for a in shown for z, c, q in [(z, a[1], a[2]) for z in (0, 3, 6) if z < a[0]])
+    assert cli.main(["map", other, "-o", str(tmp_path / "missing.html")], spark) == 0 and (tmp_path / "missing.html").read_text().count("add({") == len(shown)
+    assert cli.main(["load", other, bundle], spark) == 0
     assert cli.main(["load", other, bundle], spark) == 0 and capsys.readouterr().out.splitlines()[-1] == "0 tiles loaded"
     assert rows(Store(spark, other).contents_hash()) == rows(store.contents_hash())
     for args in (["info", s], ["info", s, "--tiles"], ["hash", s], ["tiles", s, "0/0/0"], ["map", s, "red: w", "-o", str(tmp_path / "map.html")], ["query", s, "r", "-o", str(tmp_path / "r.osm")], ["query", s, "*", "-o", str(tmp_path / "all.pbf"), "-R", "all"]):
