@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from geoweft.functions import tags as T
 from geoweft.model import Graph, member_type
+from geoweft.operators import hierarchy
+from geoweft.session import materialize, materialize_counted
 
 
 def way_nodes(graph: Graph) -> DataFrame:
@@ -56,11 +58,32 @@ def relation_members(graph: Graph) -> DataFrame:
     )
 
 
-def elements(graph: Graph) -> DataFrame:
-    """(ftype, id) of all elements that members can resolve to: located nodes, valid ways, relations."""
+def _placed(graph: Graph) -> DataFrame:
+    """(ftype, id) of located nodes and valid ways."""
     nodes = graph.located_nodes().select(F.lit("node").alias("ftype"), "id")
-    ways = way_status(graph).where("status = 'ok'").select(F.lit("way").alias("ftype"), "id")
-    return nodes.unionByName(ways).unionByName(graph.ids("relation").select(F.lit("relation").alias("ftype"), "id"))
+    return nodes.unionByName(way_status(graph).where("status = 'ok'").select(F.lit("way").alias("ftype"), "id"))
+
+
+def valid_relations(graph: Graph) -> DataFrame:
+    """`id` of relations that have a located node or valid way at some depth; others are dropped, and missing to their parents.
+
+    Most have one directly. Only links of the others are followed, upwards with doubling jumps.
+    """
+    members = relation_members(graph)
+    placed = _placed(graph).select(F.col("ftype").alias("mtype"), F.col("id").alias("ref"))
+    direct = materialize(members.where("mtype <> 'relation'").join(placed, ["mtype", "ref"], "left_semi").select("id").distinct(), "direct")
+    open_links = members.where("mtype = 'relation'").select(F.col("ref").alias("src"), F.col("id").alias("dst")).distinct().join(direct.select(F.col("id").alias("dst")), "dst", "left_anti")
+    links, n = materialize_counted(open_links.join(graph.ids("relation").withColumnRenamed("id", "src"), "src", "left_semi").select("src", "dst"), "open-links")
+    if not n:
+        return direct
+    ends = links.select(F.col("src").alias("id")).union(links.select("dst")).distinct().join(direct.withColumn("_d", F.lit(0)), "id", "left")
+    reached = hierarchy.propagate_min(links, ends.select("id", F.coalesce("_d", F.lit(1)).alias("label")))
+    return direct.union(reached.where("label = 0").select("id")).distinct()
+
+
+def elements(graph: Graph) -> DataFrame:
+    """(ftype, id) of all elements that members can resolve to: located nodes, valid ways, valid relations."""
+    return _placed(graph).unionByName(valid_relations(graph).select(F.lit("relation").alias("ftype"), "id"))
 
 
 def resolved_members(graph: Graph) -> DataFrame:

@@ -2,30 +2,43 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoweft.functions import tags as T
 from geoweft.model import Graph
 from geoweft.operators import assemble, relations
+from geoweft.plans import selector
 
 BOUNDS = ("minx", "miny", "maxx", "maxy")
 
 
-def features(graph: Graph, bounds: bool = True, rules: list[T.AreaRule] | None = None) -> DataFrame:
-    """`ftype`, `id`, `is_area`, `tags` (synthetic ones of nodes included), and with `bounds` minx, miny, maxx, maxy (null for a relation without located members).
+def features(graph: Graph, bounds: bool = True, rules: list[T.AreaRule] | None = None, types: str = "nwar") -> DataFrame:
+    """Features of the given query types (all those of elements that may be one of them): `ftype`, `id`, `is_area`, `tags` (synthetic ones of nodes included), and with `bounds` minx, miny, maxx, maxy.
 
-    Each branch has its type as a literal, so a predicate on types drops the branches it excludes before anything of them is read.
+    Each branch has its type as a literal, so a predicate on types also drops the branches it excludes before anything of them is read.
+    Valid ways and relations only: a relation without anything located at any depth is no feature.
     """
     rules = rules if rules is not None else T.parse_area_rules(T.AREA_RULES)
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
     tags = F.coalesce("tags", none).alias("tags")
     box = lambda *c: [F.col(x).cast("long").alias(b) for x, b in zip(c, BOUNDS)] if bounds else []
-    nodes = assemble.node_features(graph).select(F.lit("node").alias("ftype"), "id", F.lit(False).alias("is_area"), "tags", *box("x", "y", "x", "y"))
-    status = assemble.way_status(graph).where("status = 'ok'")
-    ways = graph.ways("tags").join(status, "id").select(F.lit("way").alias("ftype"), "id", assemble.way_area(F.col("closed"), F.col("tags"), rules).alias("is_area"), tags, *box(*BOUNDS))
-    outer = F.coalesce(F.exists("members", lambda m: m["role"] == "outer"), F.lit(False))
-    rels = graph.relations("members", "tags").select("id", (outer & T.area_tags(F.col("tags"), rules, "type")).alias("is_area"), tags)
-    if bounds:
-        rels = rels.join(relations.relation_bounds(graph), "id", "left")
-    return nodes.unionByName(ways).unionByName(rels.select(F.lit("relation").alias("ftype"), "id", "is_area", "tags", *box(*BOUNDS)))
+    branches = []
+    if "n" in types:
+        branches.append(assemble.node_features(graph).select(F.lit("node").alias("ftype"), "id", F.lit(False).alias("is_area"), "tags", *box("x", "y", "x", "y")))
+    if set(types) & set("wa"):
+        status = assemble.way_status(graph).where("status = 'ok'")
+        branches.append(graph.ways("tags").join(status, "id").select(F.lit("way").alias("ftype"), "id", assemble.way_area(F.col("closed"), F.col("tags"), rules).alias("is_area"), tags, *box(*BOUNDS)))
+    if set(types) & set("ar"):
+        outer = F.coalesce(F.exists("members", lambda m: m["role"] == "outer"), F.lit(False))
+        rels = graph.relations("members", "tags").select("id", (outer & T.area_tags(F.col("tags"), rules, "type")).alias("is_area"), tags)
+        rels = rels.join(relations.relation_bounds(graph), "id") if bounds else rels.join(assemble.valid_relations(graph), "id", "left_semi")
+        branches.append(rels.select(F.lit("relation").alias("ftype"), "id", "is_area", "tags", *box(*BOUNDS)))
+    return reduce(DataFrame.unionByName, branches)
+
+
+def selected(graph: Graph, query: str, bounds: bool = False) -> DataFrame:
+    """Features that match a query; only the branches it accepts are built."""
+    return features(graph, bounds, types=selector.accepted_types(query)).where(selector.predicate(query))

@@ -9,8 +9,7 @@ from geoweft.functions import tags as T
 from geoweft.functions import text
 from geoweft.model import Graph
 from geoweft.operators import area, assemble, relations, strings, tiling
-from geoweft.operators.features import features
-from geoweft.plans import selector
+from geoweft.operators.features import features, selected
 from geoweft.session import materialize
 
 LEVELS = T.parse_zoom_levels(T.ZOOM_LEVELS)
@@ -22,7 +21,7 @@ POLYGON = "POLYGON((-20 -30, 40 -35, 60 20, 10 50, 5 10, -20 -30))"
 
 def _selected(query: str):
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        f = features(Graph.load(spark, folder), bounds=False).where(selector.predicate(query))
+        f = selected(Graph.load(spark, folder), query)
         return f.select("ftype", "id", T.tags_text(F.col("tags")).alias("tags_text"))
 
     return run
@@ -34,7 +33,7 @@ def count_by_type(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def keys_projection(spark: SparkSession, folder: str) -> DataFrame:
-    f = features(Graph.load(spark, folder), bounds=False).where(selector.predicate("wa[building]"))
+    f = selected(Graph.load(spark, folder), "wa[building]")
     kept = T.keep_tags(F.col("tags"), ["building", "note"])
     return f.select("ftype", "id", T.tag(F.col("tags"), "note").alias("note"), T.tags_text(kept).alias("tags_text"))
 
@@ -170,7 +169,7 @@ def string_usage(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def string_topk(spark: SparkSession, folder: str) -> DataFrame:
-    return strings.string_table(strings.string_usage(Graph.load(spark, folder)), min_usage=20, max_strings=400)
+    return strings.string_table(strings.string_usage(Graph.load(spark, folder)), min_usage=3, max_strings=400)
 
 
 def index_category(spark: SparkSession, folder: str) -> DataFrame:
@@ -193,7 +192,7 @@ def hilbert_pack(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def list_ids(spark: SparkSession, folder: str) -> DataFrame:
-    f = features(Graph.load(spark, folder), bounds=False).where(selector.predicate("na[amenity]"))
+    f = selected(Graph.load(spark, folder), "na[amenity]")
     return f.select(text.typed_id(F.col("ftype"), F.col("id")).alias("line"), text.packed_id(F.col("ftype"), F.col("id")).alias("packed"))
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from geoweft.functions import tags as T
-from geoweft.operators import area, strings
+from geoweft.operators import area, strings, tiling
 from geoweft.plans.engine import BOX, DENSITY, LEVELS, POLYGON, TILES
 
 _CUR = "select * exclude (rn) from (select *, row_number() over (partition by id order by version desc) as rn from {t}) where rn = 1 and not coalesce(is_deleted, false)"
@@ -38,7 +38,9 @@ ws as (select w.id, count(wn.pos)::int as n_refs, (count(wn.pos) - count(wn.x)):
 st as (select *, case when n_missing > 0 then 'missing' when n_refs < 2 then 'short' when closed and n_refs < 4 then 'ring' else 'ok' end as status from ws),
 rm as (select id, m.pos as pos, {_TYPE.format(m="m")} as mtype, m.ref as ref, coalesce(m.role, '') as role from (select id, unnest(members) as m from r)),
 mem as (select * from rm where mtype is not null and ref is not null and not (mtype = 'relation' and ref = id)),
-el as (select 'node' as ftype, id from nl union all select 'way', id from st where status = 'ok' union all select 'relation', id from r),
+pl as (select 'node' as ftype, id from nl union all select 'way', id from st where status = 'ok'),
+vr as (select mem.id from mem join pl on pl.ftype = mem.mtype and pl.id = mem.ref union select mem.id from vr join mem on mem.mtype = 'relation' and mem.ref = vr.id),
+el as (select ftype, id from pl union all select 'relation', id from vr),
 res as (select mem.*, el.id is not null as found from mem left join el on el.ftype = mem.mtype and el.id = mem.ref),
 roles as (select id, x, y, tags, coalesce(cardinality(tags), 0) > 0 as tagged, id in (select unnest(node_ids) from w) as waynode,
   id in (select ref from mem where mtype = 'node') as member, count(*) over (partition by x, y) > 1 as shared from nl),
@@ -48,7 +50,7 @@ nf as (select id, x, y, map_from_entries(list_concat(coalesce(map_entries(tags),
   case when orphan then [{{'key': 'geodesk:orphan', 'value': 'yes'}}] else [] end))) as tags from orole where tagged or member or shared or orphan),
 f as (select 'node' as ftype, id, false as is_area, tags from nf
   union all select 'way', w.id, st.closed and {area_sql("area", "w.tags")}, w.tags from w join st on st.id = w.id and st.status = 'ok'
-  union all select 'relation', id, coalesce(len(list_filter(members, lambda m: m.role = 'outer')) > 0, false) and {area_sql("type")}, tags from r),
+  union all select 'relation', id, coalesce(len(list_filter(members, lambda m: m.role = 'outer')) > 0, false) and {area_sql("type")}, tags from r where id in (select id from vr)),
 ft as (select *, coalesce(list_aggregate(list_transform(list_sort(map_keys(tags)), lambda k: k || '=' || coalesce(tags[k], '')), 'string_agg', ','), '') as tags_text from f),
 links as (select distinct id as src, ref as dst from mem where mtype = 'relation' and ref in (select id from r))
 """
@@ -84,7 +86,45 @@ _CATF = BASE + f""", cat as (select ftype, id, is_area, coalesce({_CATS}, []) as
 cats as (select ftype, id, is_area, case len(c) when 0 then 0 when 1 then c[1] else -1 end as category, coalesce(list_sum(list_transform(c, lambda x: 1 << (x - 1))), 0)::int as index_bits from cat)
 """
 
+
+def _string_table_sql(min_usage: int, max_strings: int) -> str:
+    n = len(_REQUIRED)
+    first = max(0, min(strings.MIXED, max_strings) - n)
+    room = max(0, min(strings.KEYS, max_strings) - n - first)
+    listed = ", ".join(f"('{s}', {i})" for i, s in enumerate(_REQUIRED, 1))
+    return (
+        _USAGE
+        + f""", req(str, pos) as (values {listed}),
+top as (select str, row_number() over (order by total desc, str) as pos from usage where total >= {min_usage} and str not in (select str from req)),
+mixed as (select str, pos from top where pos <= {first}),
+ks as (select * from (select str, row_number() over (order by key_count desc, str) as pos from usage where key_count >= {min_usage}
+  and str not in (select str from req) and str not in (select str from mixed)) where pos <= {room}),
+every as (select str, 0 as part, pos from req union all select str, 1, pos from mixed union all select str, 2, pos from ks
+  union all select str, 3, pos from top where pos > {first} and str not in (select str from ks)),
+coded as (select (row_number() over (order by part, pos) - 1)::int as code, str, ['required', 'mixed', 'keys', 'rest'][part + 1] as part from every)
+select code, str, part from coded where code < {max_strings}"""
+    )
+
+
+def _tile_sizes_sql() -> str:
+    """The sizes of tiles, a common table expression per level from the finest to the root."""
+    steps, levels = [], sorted(LEVELS)
+    kept = f"(zoom = 0 or nodes >= {DENSITY})"
+    for i, z in reversed(list(enumerate(levels))):
+        if z == levels[-1]:
+            steps.append(f"b{z} as (select *, {kept} as kept, nodes * {tiling.BYTES_PER_NODE} + {tiling.BYTES_PER_TILE} as bytes from roll where zoom = {z})")
+            continue
+        below, shift = f"b{levels[i + 1]}", levels[i + 1] - z
+        steps.append(
+            f"b{z} as (select r.*, {kept} as kept, {tiling.BYTES_PER_TILE} + coalesce(c.s, 0) as bytes from roll r left join (select col >> {shift} as pc, row >> {shift} as pr, "
+            f"sum(bytes // {tiling.CHILD_SHARE} + case when kept then 0 else bytes end) as s from {below} group by 1, 2) c on c.pc = r.col and c.pr = r.row where r.zoom = {z})"
+        )
+    return _ROLL + ", " + ", ".join(steps) + " union all ".join(f" select zoom, col, row, nodes, bytes::bigint as bytes from b{z} where kept" for z in levels)
+
+
 ORACLE = {
+    "string_topk": _string_table_sql(3, 400),
+    "tile_sizes": _tile_sizes_sql(),
     "count_by_type": BASE + "select ftype, is_area, count(*) as features from f group by ftype, is_area",
     "selector_key": _SEL + "ftype = 'way' and not is_area and tags['highway'] is not null",
     "selector_eq": _SEL + "(ftype = 'node' or is_area) and tags['amenity'] = 'tree'",
@@ -108,7 +148,9 @@ from st join wn on wn.id = st.id and (not st.closed or wn.pos < st.n_refs - 1) w
     "way_rejects": BASE + "select id, n_refs, n_missing, status from st where status <> 'ok'",
     "closed_rings": BASE + "select id, n_refs from st where status = 'ok' and closed",
     "way_bounds": BASE + "select id, minx, miny, maxx, maxy from st where status = 'ok'",
-    "area_flag": BASE + "select ftype, id, is_area from f where ftype <> 'node'",
+    "area_flag": BASE
+    + f"""select 'way' as ftype, w.id, st.closed and {area_sql("area", "w.tags")} as is_area from w join st on st.id = w.id and st.status = 'ok'
+union all select 'relation', id, coalesce(len(list_filter(members, lambda m: m.role = 'outer')) > 0, false) and {area_sql("type")} from r""",
     "relation_members": BASE + "select id, pos, mtype, ref, role, found from res",
     "missing_members": BASE + "select id, count(*) as members, sum((not found)::int)::bigint as missing, bool_or(found) as kept from res group by id",
     "parents": BASE + "select mtype as ftype, ref as id, string_agg(id::varchar, ',' order by id) as parent_ids from (select distinct mtype, ref, id from res where found) group by mtype, ref",

@@ -9,8 +9,7 @@ from pyspark.sql.window import Window
 from geoweft.functions import tags as T
 from geoweft.model import Graph
 from geoweft.operators import area, assemble, changeset, closure, geometry, relations, tiling
-from geoweft.operators.features import features
-from geoweft.plans import selector
+from geoweft.operators.features import features, selected
 from geoweft.plans.engine import BOX, DENSITY, LEVELS
 from geoweft.plans.oracles import _HITS, _ROLL, BASE
 from geoweft.plans.updates import _CH, _both
@@ -21,7 +20,7 @@ from geoweft.store import BuildOptions, Store, rebuild
 
 def _shaped(spark: SparkSession, folder: str, query: str) -> DataFrame:
     g = Graph.load(spark, folder)
-    return features(g, bounds=False).where(selector.predicate(query)).join(geometry.geometries(g), ["ftype", "id"])
+    return selected(g, query).join(geometry.geometries(g), ["ftype", "id"])
 
 
 def csv_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -29,11 +28,11 @@ def csv_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def brief_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    return formats.lines(features(Graph.load(spark, folder), bounds=False).where(selector.predicate("w[amenity]")), "brief")
+    return formats.lines(selected(Graph.load(spark, folder), "w[amenity]"), "brief")
 
 
 def count_matches(spark: SparkSession, folder: str) -> DataFrame:
-    return formats.lines(features(Graph.load(spark, folder), bounds=False).where(selector.predicate("na[natural]")), "count")
+    return formats.lines(selected(Graph.load(spark, folder), "na[natural]"), "count")
 
 
 def geojsonl(spark: SparkSession, folder: str) -> DataFrame:
@@ -46,7 +45,7 @@ def wkt(spark: SparkSession, folder: str) -> DataFrame:
 
 def _closure(spark: SparkSession, folder: str) -> tuple[Graph, DataFrame]:
     g = Graph.load(spark, folder)
-    return g, closure.closure(g, features(g, bounds=False).where(selector.predicate("r[amenity]")))
+    return g, closure.closure(g, selected(g, "r[amenity]"))
 
 
 def export_closure(spark: SparkSession, folder: str) -> DataFrame:

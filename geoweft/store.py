@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from geoweft.functions import mercator, text
 from geoweft.functions import tags as T
 from geoweft.model import Graph
-from geoweft.operators import area, assemble, geometry, strings, tiling
+from geoweft.operators import area, assemble, geometry, relations, strings, tiling
 from geoweft.operators.features import BOUNDS, features
 from geoweft.plans import selector
 from geoweft.session import filesystem, materialize, scratch_path
@@ -96,6 +96,8 @@ class Store:
         tiling.assign_points(nodes, kept, levels).repartitionByRange("tile", "id").sortWithinPartitions("tile", "id").write.parquet(f"{self.path}/nodes")
         found = T.categories(F.col("tags"), T.parse_indexed_keys(o.indexed_keys))
         f = features(graph, True, T.parse_area_rules(o.areas))
+        deep = relations.levels(graph).where("omitted").select(F.lit("relation").alias("ftype"), "id")
+        f = f.join(deep, ["ftype", "id"], "left_anti")
         f = f.withColumns({"category": T.category(found), "index_bits": T.index_bits(found), "itype": F.when(F.col("is_area"), "a").otherwise(F.substring("ftype", 1, 1))})
         f = f.join(assemble.parents(graph), ["ftype", "id"], "left")
         shapes = geometry.geometries(graph).select("ftype", "id", "whole", "parts")
