@@ -138,7 +138,13 @@ st as (select coalesce(b.ftype, d.ftype) as ftype, coalesce(b.id, d.id) as id, b
   coalesce(d.version + d.del::int > coalesce(b.version, 0), false) as eff from base b full outer join dec d on b.ftype = d.ftype and b.id = d.id)
 """
 )
+# Columns and SQL types of the wide table, as the specification table lists them.
+_WIDE = {
+    "lanes": "bigint", "maxspeed": "bigint", "layer": "bigint", "population": "bigint", "building_levels": "bigint", "height": "decimal(38, 2)", "width": "decimal(38, 2)", "ele": "decimal(38, 2)",
+    "oneway": "boolean", "lit": "boolean", "bridge": "boolean", "start_date": "date", "check_date": "date", "name_text": "varchar", "ref_text": "varchar", "surface": "varchar",
+}
 ORACLE = {
+    "p3_wide": _CELLS + "select ftype, id, " + ", ".join(f"max(case when col_name = '{c}' then cell end)::{t} as {c}" for c, t in _WIDE.items()) + " from cells group by ftype, id",
     "p2_found": f"""
 with pts as (select distinct seq, id, x::bigint as x, y::bigint as y from changes where ftype = 'node' and not coalesce(is_deleted, false)
   and coalesce(lower(trim(op, ' ')), '') <> 'delete' and x is not null and y is not null),

@@ -181,3 +181,22 @@ def test_p6_brute_force(folder, spark, seed):
     rel += [{"id": 30, "version": 1, "members": [(0, "r", 1, None)]}, {"id": 30, "version": 2, "members": [(0, "r", 1, None)], "is_deleted": True}, {"id": 31, "version": 1, "members": None}]
     got = rows(problems.p6_found(spark, folder(relations=rel)))
     assert got == _brute_hierarchy(links)
+
+
+def test_hot_groups(folder, spark):
+    """A third of all rows in one place, element, target and parent: results stay whole."""
+    m = lambda p, t, i: (p, t, i, None)
+    d = folder(
+        nodes=[node(i, 1, 7 if i % 3 == 0 else 10_000 * i, 7) for i in range(1, 91)],
+        ways=[{"id": i, "version": 1, "ts": T0, "node_ids": [999 if i % 3 == 0 else i, i]} for i in range(1, 91)],
+        relations=[{"id": 1, "version": 1, "ts": T0, "members": [m(i, "r", i) for i in range(2, 42)]}] + [{"id": i, "version": 1, "ts": T0, "members": [m(0, "n", 1)]} for i in range(2, 42)],
+        changes=[change(s, 3 if s % 3 == 0 else 200 + s, 7 if s % 3 == 0 else -5000 * s, 7, **{"version": s + 2}) for s in range(90)],
+        tag_rows=[{"ftype": "node", "id": 1 if p % 3 == 0 else p, "pos": p, "k": "n", "v": str(p), "rev": 1, "ts": T0} for p in range(90)],
+        tag_columns=COLUMNS,
+    )
+    assert sum(k == "near" for k, *_ in rows(problems.p2_found(spark, d))) == 30 * 29
+    cells = {i: v for _, i, _, v in rows(problems.p3_found(spark, d))}
+    assert cells[1] == "87" and len(cells) == 60
+    assert {(i, s) for _, i, s, _ in rows(problems.p4_found(spark, d)) if i == 3} == {(3, 87)}
+    assert sum(r == "missing" and i == 999 for *_, i, r in rows(problems.p5_found(spark, d))) == 30
+    assert sum(k == "tree" for k, *_ in rows(problems.p6_found(spark, d))) == 41
