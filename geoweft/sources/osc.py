@@ -10,6 +10,9 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from geoweft.functions.mercator import UNIT, project_x, project_y
 
 CHANGES = (
     "file string, position long, ftype string, id long, version int, op string, lat double, lon double, "
@@ -83,25 +86,30 @@ def read_changes(spark: SparkSession, *paths: str) -> DataFrame:
 
     The result has the columns of the changes table: x and y are projected, `seq` grows with file and position, `is_deleted` follows the section.
     """
-    rows = spark.read.format("binaryFile").load(list(paths)).select("path", "content").mapInPandas(_rows, CHANGES)
-    return as_changes(rows)
+    return parse_files(spark.read.format("binaryFile").load(list(paths)))
 
 
-def as_changes(rows: DataFrame) -> DataFrame:
-    from geoweft.functions.mercator import UNIT, project_x, project_y
+#: Bits of a change's sequence number: position in its file, number of the file in its batch, batch.
+POSITION_BITS, FILE_BITS = 28, 12
 
-    order = rows.select("file").distinct()
-    # Files are numbered by name; there are as many rows as files.
-    from pyspark.sql.window import Window
 
-    numbered = order.withColumn("_file", F.row_number().over(Window.orderBy("file")))
+def as_changes(rows: DataFrame, batch: int = 0) -> DataFrame:
+    """Rows of CHANGES in the columns of the changes table. Files of one batch are numbered by name, one row each; at most 4,096 of them."""
+    numbered = rows.select("file").distinct().withColumn("_file", F.row_number().over(Window.orderBy("file")) - 1)
+    fits = F.assert_true((F.col("_file") < 2**FILE_BITS) & (F.col("position") < 2**POSITION_BITS), "too many files in a batch, or changes in a file")
+    seq = F.lit(batch).cast("long") * 2 ** (FILE_BITS + POSITION_BITS) + F.shiftleft(F.col("_file").cast("long"), POSITION_BITS) + F.col("position")
     at = lambda c: F.round(F.col(c) * UNIT).cast("int")
-    return rows.join(numbered, "file").select(
-        (F.shiftleft(F.col("_file").cast("long"), 36) + F.col("position")).alias("seq"), "ftype", "id", "version", "op", (F.col("op") == "delete").alias("is_deleted"), F.lit(None).cast("timestamp").alias("ts"),
+    return rows.join(numbered, "file").where(fits.isNull()).select(
+        seq.alias("seq"), "ftype", "id", "version", "op", (F.col("op") == "delete").alias("is_deleted"), F.lit(None).cast("timestamp").alias("ts"),
         "lat", "lon", project_x(at("lon")).cast("int").alias("x"), project_y(at("lat")).cast("int").alias("y"), "refs", "members", "tags",
     )
 
 
+def parse_files(files: DataFrame, batch: int = 0) -> DataFrame:
+    """Changes of files given as rows `path`, `content`."""
+    return as_changes(files.select("path", "content").mapInPandas(_rows, CHANGES), batch)
+
+
 def parse_state(text: str) -> tuple[int, str]:
     """Sequence number and timestamp (ISO) of a state file: `key=value` lines, backslashes before colons, comments after #."""
     values = dict(line.split("=", 1) for line in text.splitlines() if "=" in line and not line.lstrip().startswith("#"))
@@ -120,7 +128,7 @@ def sequence_path(number: int) -> str:
 
 def replication_states(spark: SparkSession, folder: str) -> DataFrame:
     """`sequence`, `ts`, `path` of all state files of a local replication folder."""
-    rows = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.state.txt").text(folder).select("value", F.col("_metadata.file_path").alias("path"))
+    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.state.txt").text(folder, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
     number = F.regexp_extract("value", r"(?m)^sequenceNumber=(\d+)", 1).cast("long")
     ts = F.replace(F.regexp_extract("value", r"(?m)^timestamp=(\S+)", 1), F.lit("\\"), F.lit(""))
     return rows.select(number.alias("sequence"), ts.try_cast("timestamp").alias("ts"), "path")

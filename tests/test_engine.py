@@ -298,6 +298,21 @@ def test_stream_equals_batch(spark, tmp_path, folder):
     assert {x.id: (x.version, x.is_deleted, x.seq) for x in once.read().collect()} == {0: (5, False, 0), 1: (3, True, 3), 2: (1, False, None)}
 
 
+def test_stream_of_change_files(spark, tmp_path):
+    base = spark.createDataFrame([("node", 9, 1, False, None)], "ftype string, id long, version int, is_deleted boolean, seq long")
+    for number, body in ((1, OSC), (2, OSC.replace('version="2"', 'version="3"'))):
+        path = tmp_path / "rep" / f"{osc.sequence_path(number)}.osc.gz"
+        path.parent.mkdir(parents=True, exist_ok=True)
+        with gzip.open(path, "wt") as f:
+            f.write(body)
+        path.with_name(path.name.replace(".osc.gz", ".state.txt")).write_text(f"sequenceNumber={number}\ntimestamp=2024-01-0{number}T00\\:00\\:00Z\n")
+    live = stream.state_table(spark, base, str(tmp_path / "live"))
+    assert stream.follow_files(spark, str(tmp_path / "rep"), live, str(tmp_path / "cp"), files_per_batch=1).awaitTermination(120)
+    assert {(x.ftype, x.id): (x.version, x.is_deleted) for x in live.read().collect()} == {("node", 9): (3, True), ("node", 11): (1, False), ("way", 9): (3, False), ("relation", 4): (3, False)}
+    states = osc.replication_states(spark, str(tmp_path / "rep"))
+    assert osc.sequence_at(states, datetime.datetime(2024, 1, 1, 12)).collect()[0][0] == 1
+
+
 def test_store_and_commands(graph, spark, tmp_path, folder, capsys):
     source = os.path.dirname(graph.tables["node"].inputFiles()[0].removeprefix("file://")).rsplit("/", 1)[0]
     s = str(tmp_path / "store")
