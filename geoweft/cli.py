@@ -130,10 +130,13 @@ def _query(args, spark, store, name, query, where, **_) -> int:
 
         if not output:
             raise ValueError(f"{name} needs an output file")
-        graph = store.graph()
         near = store.features("*", *where).select("ftype", "id") if any(where) else None
-        below = closure.closure(graph, found.select("ftype", "id"), closure.complete_types(args.complete_relations), near)
-        rows = osm.export_rows(graph, below, keys)
+        complete, hits = closure.complete_types(args.complete_relations), found.select("ftype", "id")
+        if store.meta()["waynode_ids"] == "True":
+            graph = store.graph()
+            rows = osm.export_rows(graph, closure.closure(graph, hits, complete, near), keys)
+        else:
+            rows = osm.export_features(store, hits, complete, near, keys)
         osm.write_xml(rows, output) if name == "xml" else osm.write_pbf(rows, output)
         return 0
     lines = formats.lines(found.withColumn("whole", F.coalesce("whole", F.lit("collection"))), name, keys, args.precision)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from geoweft.functions import mercator, text
 from geoweft.functions import tags as T
 from geoweft.model import Graph, member_type
+from geoweft.operators.closure import above_nodes as closure_above
 from geoweft.sources import wire
 from geoweft.sources.pbf import MEMBER_TYPES
 
@@ -44,11 +45,34 @@ def export_rows(graph: Graph, closure: DataFrame, keys: list[str] | None = None)
     return nodes.unionByName(ways).unionByName(rels)
 
 
-def xml_element() -> Column:
-    """One element with its children, from the columns of `export_rows`."""
+def export_features(store, hits: DataFrame, complete: tuple[str, ...] | None = None, allowed: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
+    """As `export_rows`, for a store without node ids of ways: ways have a `line` of places instead, and bring no nodes."""
+    f = store.table("features")
+    m = f.where("ftype = 'relation'").select("id", F.explode("members").alias("m")).select("id", F.col("m.pos").alias("pos"), member_type(F.col("m.type")).alias("mtype"), F.col("m.ref").alias("ref"), F.coalesce("m.role", F.lit("")).alias("role"))
+    found = m.join(f.select(F.col("ftype").alias("mtype"), F.col("id").alias("ref")), ["mtype", "ref"], "left_semi")
+    upper, _ = closure_above(hits, found, f.where("ftype = 'relation'").select("id", "tags"), complete, allowed)
+    held = m.join(upper.select(F.col("ftype").alias("mtype"), F.col("id").alias("ref")), ["mtype", "ref"], "left_semi")
+    members_type = "array<struct<pos:int,type:string,ref:bigint,role:string>>"
+    held = held.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("mtype").alias("type"), "ref", "role"))).cast(members_type).alias("members"), F.lit("relation").alias("ftype"))
+    rows = f.drop("members").join(upper, ["ftype", "id"], "left_semi").join(held, ["ftype", "id"], "left")
+    ring = F.col("parts")[0]["rings"][0]
+    place = lambda p: F.struct(mercator.lon_degrees(p["x"]).alias("lon"), mercator.lat_degrees(p["y"]).alias("lat"))
+    point = F.when(F.col("ftype") == "node", place(ring[0]))
+    real = F.map_filter("tags", lambda k, v: ~k.startswith("geodesk:"))
+    return rows.select(
+        text.type_code(F.col("ftype")).alias("code"), "id", point["lon"].alias("lon"), point["lat"].alias("lat"), F.lit(None).cast("array<bigint>").alias("node_ids"), "members",
+        T.keep_tags(real, keys).alias("tags"), F.when(F.col("ftype") == "way", F.transform(ring, place)).alias("line"),
+    )
+
+
+def xml_element(located: bool = False) -> Column:
+    """One element with its children, from the columns of `export_rows`, or if `located` of `export_features`."""
     esc = text.xml_escape
     tags = F.array_join(F.transform(T.sorted_tags(F.col("tags")), lambda e: F.concat(F.lit('<tag k="'), esc(e["key"]), F.lit('" v="'), esc(F.coalesce(e["value"], F.lit(""))), F.lit('"/>'))), "")
     nds = F.array_join(F.transform("node_ids", lambda r: F.concat(F.lit('<nd ref="'), r.cast("string"), F.lit('"/>'))), "")
+    if located:
+        spot = lambda p: F.concat(F.lit('<nd lat="'), text.degrees_fixed(p["lat"]), F.lit('" lon="'), text.degrees_fixed(p["lon"]), F.lit('"/>'))
+        nds = F.array_join(F.transform("line", spot), "")
     members = F.array_join(F.transform("members", lambda m: F.concat(F.lit('<member type="'), m["type"], F.lit('" ref="'), m["ref"].cast("string"), F.lit('" role="'), esc(m["role"]), F.lit('"/>'))), "")
     name = F.element_at(F.array(*map(F.lit, MEMBER_TYPES)), F.col("code") + 1)
     place = F.when(F.col("code") == 0, F.concat(F.lit(' lat="'), text.degrees_fixed(F.col("lat")), F.lit('" lon="'), text.degrees_fixed(F.col("lon")), F.lit('"'))).otherwise("")
@@ -62,7 +86,7 @@ def write_xml(rows: DataFrame, path: str) -> int:
     n = 0
     with open(path + ".tmp", "w", encoding="utf-8") as out:
         out.write(f'<?xml version="1.0" encoding="UTF-8"?>\n<osm version="0.6" generator="{GENERATOR}" upload="false">\n')
-        for r in rows.orderBy("code", "id").select(xml_element()).toLocalIterator():
+        for r in rows.orderBy("code", "id").select(xml_element("line" in rows.columns)).toLocalIterator():
             out.write(r[0] + "\n")
             n += 1
         out.write("</osm>\n")
@@ -76,8 +100,9 @@ def blob(kind: str, data: bytes) -> bytes:
     return struct.pack(">I", len(head)) + head + body
 
 
-def header_block(source: str = "") -> bytes:
-    parts = [wire.field(4, f) for f in (b"OsmSchema-V0.6", b"DenseNodes")] + [wire.field(5, b"Sort.Type_then_ID"), wire.field(16, GENERATOR.encode())]
+def header_block(source: str = "", located: bool = False) -> bytes:
+    optional = [b"Sort.Type_then_ID"] + [b"LocationsOnWays"] * located
+    parts = [wire.field(4, f) for f in (b"OsmSchema-V0.6", b"DenseNodes")] + [wire.field(5, f) for f in optional] + [wire.field(16, GENERATOR.encode())]
     return b"".join(parts) + (wire.field(17, source.encode()) if source else b"")
 
 
@@ -104,10 +129,13 @@ def encode_block(rows: pd.DataFrame) -> bytes:
         group = wire.field(2, dense + (wire.field(10, wire.pack(words)) if any(pairs) else b""))
     else:
         parts = []
-        for fid, refs, members, p in zip(rows["id"].tolist(), rows["node_ids"], rows["members"], pairs):
+        lines = rows["line"] if "line" in rows else [None] * len(rows)
+        for fid, refs, members, p, line in zip(rows["id"].tolist(), rows["node_ids"], rows["members"], pairs, lines):
             e = wire.field(1, fid) + wire.field(2, wire.pack([number(k) for k, _ in p])) + wire.field(3, wire.pack([number(v) for _, v in p]))
             if code == 1:
                 e += wire.field(8, wire.pack_deltas([] if refs is None else list(refs)))
+                if line is not None:
+                    e += b"".join(wire.field(k, wire.pack_deltas([round(q[c] * 1e7) for q in line])) for k, c in ((9, "lat"), (10, "lon")))
             else:
                 m = [] if members is None else list(members)
                 e += wire.field(8, wire.pack([number(x["role"]) for x in m])) + wire.field(9, wire.pack_deltas([x["ref"] for x in m])) + wire.field(10, wire.pack([MEMBER_TYPES.index(x["type"]) for x in m]))
@@ -129,7 +157,7 @@ def write_pbf(rows: DataFrame, path: str, source: str = "") -> int:
     n = 0
     encoded = rows.repartitionByRange("code", "id").sortWithinPartitions("code", "id").mapInPandas(_blocks, "code int, first long, blob binary")
     with open(path + ".tmp", "wb") as out:
-        out.write(blob("OSMHeader", header_block(source)))
+        out.write(blob("OSMHeader", header_block(source, "line" in rows.columns)))
         for r in encoded.toLocalIterator():
             out.write(r["blob"])
             n += 1

@@ -3,7 +3,8 @@
     spark.dataSource.register(PbfSource)
     spark.read.format("geoweft_pbf").load(path)
 
-One row per element: ftype, id, lon and lat (100 nanodegrees), node_ids, members, tags. Dense nodes, raw and zlib blobs are read; other
+One row per element: ftype, id, lon and lat (100 nanodegrees), node_ids, members, tags, and of ways the places of their nodes where
+a file has them. Dense nodes, raw and zlib blobs are read; other
 compressions, plain nodes and unknown fields are errors. Histories, users and changesets of elements are passed over.
 """
 
@@ -20,7 +21,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from geoweft.sources import wire
 
-SCHEMA = "ftype string, id long, lon int, lat int, node_ids array<bigint>, members array<struct<pos:int,type:string,ref:bigint,role:string>>, tags map<string,string>"
+SCHEMA = "ftype string, id long, lon int, lat int, node_ids array<bigint>, members array<struct<pos:int,type:string,ref:bigint,role:string>>, tags map<string,string>, places array<struct<lon:int,lat:int>>"
 ARROW = pa.schema(
     [
         ("ftype", pa.string()),
@@ -30,6 +31,7 @@ ARROW = pa.schema(
         ("node_ids", pa.list_(pa.int64())),
         ("members", pa.list_(pa.struct([("pos", pa.int32()), ("type", pa.string()), ("ref", pa.int64()), ("role", pa.string())]))),
         ("tags", pa.map_(pa.string(), pa.string())),
+        ("places", pa.list_(pa.struct([("lon", pa.int32()), ("lat", pa.int32())]))),
     ]
 )
 # Limits of header and blob sizes, names of member types, and the features that a reader must know.
@@ -164,7 +166,8 @@ def _tags(v: dict, strings: list[str]) -> list[tuple[str, str]]:
 
 def _way(data: bytes, strings: list[str]) -> dict:
     v = dict(wire.fields(data))
-    return {"ftype": "way", "id": v[1], "node_ids": wire.deltas(v.get(8, b"")).tolist(), "tags": _tags(v, strings)}
+    places = [{"lon": x, "lat": y} for x, y in zip(wire.deltas(v[10]).tolist(), wire.deltas(v[9]).tolist(), strict=True)] if 9 in v and 10 in v else None
+    return {"ftype": "way", "id": v[1], "node_ids": wire.deltas(v.get(8, b"")).tolist(), "tags": _tags(v, strings), "places": places}
 
 
 def _relation(data: bytes, strings: list[str]) -> dict:

@@ -343,6 +343,15 @@ def test_store_and_commands(graph, spark, tmp_path, folder, capsys):
     assert rows(Store(spark, other).contents_hash()) == rows(store.contents_hash())
     for args in (["info", s], ["info", s, "--tiles"], ["hash", s], ["tiles", s, "0/0/0"], ["map", s, "red: w", "-o", str(tmp_path / "map.html")], ["query", s, "r", "-o", str(tmp_path / "r.osm")], ["query", s, "*", "-o", str(tmp_path / "all.pbf"), "-R", "all"]):
         assert cli.main(args, spark) == 0, args
+    plain = Store.build(Graph.load(spark, source), str(tmp_path / "plain"), BuildOptions(min_tile_density=1))
+    with pytest.raises(StoreError):
+        plain.graph()
+    for name in ("p.osm", "p.pbf"):
+        assert cli.main(["query", plain.path, "ra", "-o", str(tmp_path / name), "-R", "all"], spark) == 0
+    way = ET.parse(tmp_path / "p.osm").getroot().find("way[@id='9']")
+    assert [(nd.get("ref"), float(nd.get("lon"))) for nd in way.findall("nd")][0] == (None, 0.0) and len(way.findall("nd")) == 3
+    back = {x.id: x.places for x in pbf.read_pbf(spark, str(tmp_path / "p.pbf")).where("ftype = 'way'").collect()}
+    assert len(back[9]) == 3 and back[9][0].lon == 0 and abs(back[9][1].lon - M * 360 / 2**32 * 1e7) < 1
     (tmp_path / "c.osc").write_text(OSC)
     updated = str(tmp_path / "updated")
     assert cli.main(["update", s, str(tmp_path / "c.osc"), "-o", updated], spark) == 0
