@@ -38,6 +38,8 @@ def propagate_min(links: DataFrame, labels: DataFrame, names: Sequence[str] = ("
     Jumps of 2^k links double each round; it ends when no link would change a label, so cycles do no harm.
     """
     n = links.count()
+    if not n:
+        return labels
     jumps, growing = links, True
     while True:
         step = (jumps if jumps is links else links.unionByName(jumps)).join(labels.withColumnRenamed("id", "src"), "src")
