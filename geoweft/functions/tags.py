@@ -23,6 +23,9 @@ INDEXED_KEYS = (
     "place highway railway aeroway aerialway tourism amenity shop craft power industrial man_made leisure landuse waterway "
     "natural/geological military historic healthcare office emergency building boundary building:part telecom communication route"
 )
+# Keys of tags that a build adds, and what they start with.
+SYNTHETIC, DUPLICATE, ORPHAN = "geodesk:", "geodesk:duplicate", "geodesk:orphan"
+MISSING_MEMBERS, REMOVED_REFCYCLES = "geodesk:missing_members", "geodesk:removed_refcycles"
 # Most categories and most indexed keys, and the default zoom levels.
 MOST_CATEGORIES, MOST_KEYS = 30, 255
 ZOOM_LEVELS = "0/2/4/6/8/10/12"
@@ -148,6 +151,11 @@ def tags_text(tags: Column) -> Column:
     return F.array_join(F.transform(sorted_tags(tags), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("")))), ",")
 
 
+def without_synthetic(tags: Column) -> Column:
+    """Tags without those that a build has added."""
+    return F.map_filter(tags, lambda k, v: ~k.startswith(SYNTHETIC))
+
+
 def keep_tags(tags: Column, keys: list[str] | None) -> Column:
     """Only the given keys, or all for None."""
     return tags if keys is None else F.map_filter(tags, lambda k, v: k.isin(*keys))

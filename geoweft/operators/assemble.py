@@ -132,14 +132,14 @@ def node_roles(graph: Graph) -> DataFrame:
 def node_features(graph: Graph) -> DataFrame:
     """Nodes that are features (tagged, members, at a shared location, or orphans) with their tags, synthetic ones included.
 
-    An untagged node gets `geodesk:duplicate=yes` at a shared location and `geodesk:orphan=yes` if nothing uses it.
+    An untagged node gets the tag DUPLICATE at a shared location and ORPHAN if nothing uses it.
     """
     roles = node_roles(graph).where("tagged or member or shared or orphan")
     tagged = graph.nodes("tags").join(roles, "id")
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
     extra = F.map_concat(
-        F.when(~F.col("tagged") & F.col("shared"), F.create_map(F.lit("geodesk:duplicate"), F.lit("yes"))).otherwise(none),
-        F.when(F.col("orphan"), F.create_map(F.lit("geodesk:orphan"), F.lit("yes"))).otherwise(none),
+        F.when(~F.col("tagged") & F.col("shared"), F.create_map(F.lit(T.DUPLICATE), F.lit("yes"))).otherwise(none),
+        F.when(F.col("orphan"), F.create_map(F.lit(T.ORPHAN), F.lit("yes"))).otherwise(none),
     )
     return tagged.withColumn("tags", F.map_concat(F.coalesce("tags", none), extra))
 

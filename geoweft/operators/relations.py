@@ -101,10 +101,10 @@ def relation_bounds(graph: Graph) -> DataFrame:
 
 
 def synthetic_relation_tags(graph: Graph) -> DataFrame:
-    """Relations with tags added: `geodesk:missing_members` and `geodesk:removed_refcycles` with their numbers, where not zero."""
+    """Relations with tags added: MISSING_MEMBERS and REMOVED_REFCYCLES with their numbers, where not zero."""
     _, removed = break_cycles(graph)
     lost = removed.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("lost"))
     j = graph.relations("tags").join(assemble.missing_members(graph).select("id", "missing"), "id", "left").join(lost, "id", "left")
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
     extra = lambda c, k: F.when(F.coalesce(F.col(c), F.lit(0)) > 0, F.create_map(F.lit(k), F.col(c).cast("string"))).otherwise(none)
-    return j.select("id", F.map_concat(F.coalesce("tags", none), extra("missing", "geodesk:missing_members"), extra("lost", "geodesk:removed_refcycles")).alias("tags"))
+    return j.select("id", F.map_concat(F.coalesce("tags", none), extra("missing", T.MISSING_MEMBERS), extra("lost", T.REMOVED_REFCYCLES)).alias("tags"))

@@ -46,8 +46,8 @@ roles as (select id, x, y, tags, coalesce(cardinality(tags), 0) > 0 as tagged, i
   id in (select ref from mem where mtype = 'node') as member, count(*) over (partition by x, y) > 1 as shared from nl),
 orole as (select *, not tagged and not coalesce(waynode, false) and not member as orphan from roles),
 nf as (select id, x, y, map_from_entries(list_concat(coalesce(map_entries(tags), []),
-  list_concat(case when not tagged and shared then [{{'key': 'geodesk:duplicate', 'value': 'yes'}}] else [] end,
-  case when orphan then [{{'key': 'geodesk:orphan', 'value': 'yes'}}] else [] end))) as tags from orole where tagged or member or shared or orphan),
+  list_concat(case when not tagged and shared then [{{'key': '{T.DUPLICATE}', 'value': 'yes'}}] else [] end,
+  case when orphan then [{{'key': '{T.ORPHAN}', 'value': 'yes'}}] else [] end))) as tags from orole where tagged or member or shared or orphan),
 f as (select 'node' as ftype, id, false as is_area, tags from nf
   union all select 'way', w.id, st.closed and {area_sql("area", "w.tags")}, w.tags from w join st on st.id = w.id and st.status = 'ok'
   union all select 'relation', id, coalesce(len(list_filter(members, lambda m: m.role = 'outer')) > 0, false) and {area_sql("type")}, tags from r where id in (select id from vr)),

@@ -58,7 +58,7 @@ def export_features(store, hits: DataFrame, complete: tuple[str, ...] | None = N
     ring = F.col("parts")[0]["rings"][0]
     place = lambda p: F.struct(mercator.lon_degrees(p["x"]).alias("lon"), mercator.lat_degrees(p["y"]).alias("lat"))
     point = F.when(F.col("ftype") == "node", place(ring[0]))
-    real = F.map_filter("tags", lambda k, v: ~k.startswith("geodesk:"))
+    real = T.without_synthetic(F.col("tags"))
     return rows.select(
         text.type_code(F.col("ftype")).alias("code"), "id", point["lon"].alias("lon"), point["lat"].alias("lat"), F.lit(None).cast("array<bigint>").alias("node_ids"), "members",
         T.keep_tags(real, keys).alias("tags"), F.when(F.col("ftype") == "way", F.transform(ring, place)).alias("line"),

@@ -190,7 +190,7 @@ class Store:
         out = lambda df, name: df.select("ftype", "id", F.lit(name).alias("problem"))
         located = F.coalesce(F.size("parts") > 0, F.lit(False))
         no_bounds = located & ((F.col("minx") > F.col("maxx")) | (F.col("miny") > F.col("maxy")))
-        flags = [T.tag(F.col("tags"), k) for k in ("geodesk:duplicate", "geodesk:orphan")]
+        flags = [T.tag(F.col("tags"), k) for k in (T.DUPLICATE, T.ORPHAN)]
         part = lambda i: F.split_part("tile", F.lit("/"), F.lit(i)).cast("int")
         own = F.when(F.col("tile").isNotNull(), F.call_function("shiftright", F.col("minx") + 2**31, 32 - part(1)) == part(2))
         points = F.flatten(F.flatten(F.transform("parts", lambda p: p["rings"])))
@@ -204,7 +204,7 @@ class Store:
             out(f.where((F.col("ftype") == "node") & located & ~F.coalesce(own, F.lit(True))), "node outside its tile"),
             out(f.where(flags[1].isNotNull() & F.col("parents").isNotNull()), "orphan is a member"),
             out(f.where(F.coalesce(flags[0] != "yes", F.lit(False)) | F.coalesce(flags[1] != "yes", F.lit(False))), "synthetic tag is not yes"),
-            out(f.where((flags[0].isNotNull() | flags[1].isNotNull()) & F.exists(F.map_keys("tags"), lambda k: ~k.startswith("geodesk:"))), "synthetic tag beside others"),
+            out(f.where((flags[0].isNotNull() | flags[1].isNotNull()) & F.exists(F.map_keys("tags"), lambda k: ~k.startswith(T.SYNTHETIC))), "synthetic tag beside others"),
             out(f.where(no_bounds), "empty bounds"),
             out(f.where(F.col("ftype").isin("node", "way") & located & ~tight), "bounds are not tight"),
             out(f.where((F.col("ftype") == "node") & F.col("is_area")), "node is an area"),
@@ -287,7 +287,7 @@ class Store:
         if self.meta()["waynode_ids"] != "True":
             raise StoreError("the store has no node ids of ways; build it with waynode_ids")
         f = self.table("features")
-        real = F.map_filter("tags", lambda k, v: ~k.startswith("geodesk:")).alias("tags")
+        real = T.without_synthetic(F.col("tags")).alias("tags")
         one = (F.lit(0).alias("version"), F.lit(False).alias("is_deleted"))
         tagged = f.where("ftype = 'node'").select("id", real)
         nodes = self.table("nodes").select("id", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y")).join(tagged, "id", "left").select("id", *one, "x", "y", "tags")

@@ -151,7 +151,7 @@ def test_assembly(graph):
     roles = {x.id: x for x in assemble.node_roles(graph).collect()}
     assert roles[6].shared and roles[8].shared and roles[6].orphan and not roles[9].orphan and not roles[1].orphan and 10 not in roles
     feats = {x.id: x.tags for x in assemble.node_features(graph).collect()}
-    assert feats[6] == {"geodesk:duplicate": "yes", "geodesk:orphan": "yes"} and feats[8] == {"shop": "x"} and feats[9] == {} and 2 not in feats
+    assert feats[6] == {T.DUPLICATE: "yes", T.ORPHAN: "yes"} and feats[8] == {"shop": "x"} and feats[9] == {} and 2 not in feats
     parents = {(x.ftype, x.id): x.parents for x in assemble.parents(graph).collect()}
     assert parents["node", 5] == [5, 6] and parents["way", 1] == [2, 3]
 
@@ -161,7 +161,7 @@ def test_cycles_and_bounds(graph):
     assert [tuple(x) for x in removed.collect()] == [(5, 6)] and [tuple(x) for x in kept.collect()] == [(6, 5)]
     assert {x.id: x.level for x in relations.levels(graph).collect()} == {1: 0, 2: 0, 3: 0, 4: 0, 5: 0, 6: 1, 7: 0}
     tags = {x.id: x.tags for x in relations.synthetic_relation_tags(graph).collect()}
-    assert tags[5] == {"geodesk:removed_refcycles": "1"} and tags[1]["geodesk:missing_members"] == "1"
+    assert tags[5] == {T.REMOVED_REFCYCLES: "1"} and tags[1][T.MISSING_MEMBERS] == "1"
     b = {x.id: (x.minx, x.miny, x.maxx, x.maxy) for x in relations.relation_bounds(graph).collect()}
     assert b[5] == b[6] == (0, 0, 5 * M, 5 * M) and 7 not in b and b[1] == (0, 0, M, M)
 
