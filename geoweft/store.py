@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from geoweft.functions import mercator, text
 from geoweft.functions import tags as T
-from geoweft.model import Graph
-from geoweft.operators import area, assemble, geometry, relations, strings, tiling
+from geoweft.model import Graph, member_type
+from geoweft.operators import area, assemble, geometry, hierarchy, relations, strings, tiling
 from geoweft.operators.features import BOUNDS, features
 from geoweft.plans import selector
 from geoweft.session import filesystem, materialize, scratch_path
@@ -136,12 +136,13 @@ class Store:
         f = f.where(F.col("index_bits").bitwiseAND(mask) == mask) if mask else f
         f = f.where(selector.predicate(query))
         if bbox:
-            f = f.where(area.meets_box(area.box_units(bbox)) & (F.size("parts") > 0))
+            f = f.where(area.meets_box(area.box_units(bbox)))
         if rings:
-            f = self._in_area(f, rings)
+            f = self._in_area(f, rings, bool(set(types) & set("ar")))
         return f
 
-    def _in_area(self, f: DataFrame, rings: list[area.Ring]) -> DataFrame:
+    def _in_area(self, f: DataFrame, rings: list[area.Ring], with_relations: bool = True) -> DataFrame:
+        """Rows of `f` that meet an area. A relation that is no area, or of which no ring closes, does if a member at any depth does."""
         units = area.ring_units(rings)
         shared = self.spark.sparkContext.broadcast(units)
 
@@ -156,7 +157,22 @@ class Store:
 
             return pd.Series([one(p) for p in parts], dtype=bool)
 
-        return f.where(area.meets_box(area.ring_box(units))).where(F.pandas_udf(meets, "boolean")("parts"))
+        near, hit = area.meets_box(area.ring_box(units)), F.pandas_udf(meets, "boolean")
+        own = f.where(near & (F.col("ftype") != "relation")).where(hit("parts"))
+        if not with_relations:
+            return own
+        # Bounds hold those of members at all depths, so relations beyond the box have no member that meets the area.
+        every = self.table("features").where(near)
+        rels = every.where("ftype = 'relation'").withColumn("shaped", F.col("is_area") & (F.size("parts") > 0))
+        members = rels.where("not shaped").select("id", F.explode("members").alias("m")).select("id", member_type(F.col("m.type")).alias("ftype"), F.col("m.ref").alias("ref"))
+        # Parts of a relation that is no area are its node and way members; an area without rings needs theirs looked up.
+        bare = members.join(rels.where("is_area and not shaped").select("id"), "id", "left_semi").where("ftype <> 'relation'")
+        shapes = every.where("ftype <> 'relation'").select("ftype", F.col("id").alias("ref"), "parts")
+        direct = rels.where(hit("parts")).select("id").union(shapes.join(bare, ["ftype", "ref"]).where(hit("parts")).select("id")).distinct()
+        labels = materialize(rels.select("id").join(direct.withColumn("_d", F.lit(0)), "id", "left").select("id", F.coalesce("_d", F.lit(1)).alias("label")), "direct")
+        links = hierarchy.distinct_links(members.where("ftype = 'relation'"), "ref", "id").join(rels.select(F.col("id").alias("src")), "src", "left_semi").select("src", "dst")
+        met = hierarchy.propagate_min(materialize(links, "links"), labels).where("label = 0").select("id")
+        return own.unionByName(f.where(near & (F.col("ftype") == "relation")).join(met, "id", "left_semi").select(f.columns))
 
     def contents_hash(self) -> DataFrame:
         """One row, `contents`: the same for two stores of the same features, however they are laid out."""

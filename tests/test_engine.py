@@ -313,6 +313,27 @@ def test_stream_of_change_files(spark, tmp_path):
     assert osc.sequence_at(states, datetime.datetime(2024, 1, 1, 12)).collect()[0][0] == 1
 
 
+def test_store_finds_relations_by_bounds_and_by_members(folder, spark, tmp_path):
+    far = [n(20, -50 * M, -50 * M), n(21, -49 * M, -50 * M)]
+    more = [
+        r(20, [("w", 9, "outer")], {"type": "multipolygon", "mark": "yes"}), r(21, [("r", 20, "")], {"mark": "yes"}), r(22, [("r", 21, ""), ("n", 20, "")], {"mark": "yes"}),
+        r(23, [("w", 20, "outer")], {"type": "multipolygon", "mark": "yes"}), r(24, [("r", 23, "")], {"mark": "yes"}), r(25, [("n", 20, ""), ("n", 5, "")], {"mark": "yes"}),
+    ]
+    g = Graph.load(spark, folder(nodes=NODES + far, ways=[*WAYS, w(20, [20, 21])], relations=RELATIONS + more))
+    store = Store.build(g, str(tmp_path / "store"), BuildOptions(min_tile_density=1))
+    rels = {x.id: x for x in store.features("ra[mark]").collect()}
+    assert set(rels) == {20, 21, 22, 23, 24, 25} and not any(rels[i].parts for i in (20, 21, 23, 24)) and rels[20].is_area
+    for box in ("-1,-1,1,1", "-45,-45,-35,-35", "0.1,0.1,0.2,0.2", "20,20,30,30"):
+        x0, y0, x1, y1 = area.box_units(area.parse_box(box))
+        want = {i for i, x in rels.items() if x.minx <= x1 and x.maxx >= x0 and x.miny <= y1 and x.maxy >= y0}
+        assert {x.id for x in store.features("ra[mark]", bbox=area.parse_box(box)).collect()} == want, box
+    inside = lambda q, t: {x.id for x in store.features(q, rings=area.parse_rings(t)).collect()}
+    assert inside("ra[mark]", "-1 -1 1 -1 1 1 -1 1") == {20, 21, 22}
+    assert inside("r[mark]", "-45 -45 -35 -45 -35 -35 -45 -35") == {22, 24, 25} and inside("a[mark]", "-45 -45 -35 -45 -35 -35 -45 -35") == {23}
+    # Within the bounds of 22 and 25, but away from all members.
+    assert inside("ra[mark]", "-2 -2 -1 -2 -1 -1 -2 -1") == set()
+
+
 def test_store_and_commands(graph, spark, tmp_path, folder, capsys):
     source = os.path.dirname(graph.tables["node"].inputFiles()[0].removeprefix("file://")).rsplit("/", 1)[0]
     s = str(tmp_path / "store")
