@@ -92,15 +92,17 @@ def resolved_members(graph: Graph) -> DataFrame:
     return relation_members(graph).join(known, ["mtype", "ref"], "left").select("id", "pos", "mtype", "ref", "role", F.coalesce("_f", F.lit(False)).alias("found"))
 
 
-def missing_members(graph: Graph) -> DataFrame:
+def missing_members(graph: Graph, resolved: DataFrame | None = None) -> DataFrame:
     """Relations with members: `members`, `missing`, `kept` (false for one of which nothing is found)."""
     missing = F.sum(F.when(F.col("found"), 0).otherwise(1))
-    return resolved_members(graph).groupBy("id").agg(F.count("*").alias("members"), missing.alias("missing"), (missing < F.count("*")).alias("kept"))
+    resolved = resolved if resolved is not None else resolved_members(graph)
+    return resolved.groupBy("id").agg(F.count("*").alias("members"), missing.alias("missing"), (missing < F.count("*")).alias("kept"))
 
 
-def parents(graph: Graph) -> DataFrame:
-    """`ftype`, `id` of each found member with `parents`, the ids of its relations in ascending order."""
-    return resolved_members(graph).where("found").groupBy(F.col("mtype").alias("ftype"), F.col("ref").alias("id")).agg(F.array_sort(F.collect_set(F.col("id"))).alias("parents"))
+def parents(graph: Graph, found: DataFrame | None = None) -> DataFrame:
+    """`ftype`, `id` of each found member (or of those in `found`) with `parents`, the ids of its relations in ascending order."""
+    found = found if found is not None else resolved_members(graph).where("found")
+    return found.groupBy(F.col("mtype").alias("ftype"), F.col("ref").alias("id")).agg(F.array_sort(F.collect_set(F.col("id"))).alias("parents"))
 
 
 def way_area(closed: Column, tags: Column, rules: list[T.AreaRule]) -> Column:

@@ -15,10 +15,11 @@ from geoweft.plans import selector
 BOUNDS = ("minx", "miny", "maxx", "maxy")
 
 
-def features(graph: Graph, bounds: bool = True, rules: list[T.AreaRule] | None = None, types: str = "nwar") -> DataFrame:
+def features(graph: Graph, bounds: bool = True, rules: list[T.AreaRule] | None = None, types: str = "nwar", relation_tags: DataFrame | None = None) -> DataFrame:
     """Features of the given query types (all those of elements that may be one of them): `ftype`, `id`, `is_area`, `tags` (synthetic ones of nodes included), and with `bounds` minx, miny, maxx, maxy.
 
     Each branch has its type as a literal, so a predicate on types also drops the branches it excludes before anything of them is read.
+    Relations have the tags of their elements, or those of `relation_tags` (id, tags), as a build adds to them.
     Valid ways and relations only: a relation without anything located at any depth is no feature.
     """
     rules = rules if rules is not None else T.parse_area_rules(T.AREA_RULES)
@@ -34,6 +35,7 @@ def features(graph: Graph, bounds: bool = True, rules: list[T.AreaRule] | None =
     if set(types) & set("ar"):
         outer = F.coalesce(F.exists("members", lambda m: m["role"] == "outer"), F.lit(False))
         rels = graph.relations("members", "tags").select("id", (outer & T.area_tags(F.col("tags"), rules, "type")).alias("is_area"), tags)
+        rels = rels.drop("tags").join(relation_tags, "id") if relation_tags is not None else rels
         rels = rels.join(relations.relation_bounds(graph), "id") if bounds else rels.join(assemble.valid_relations(graph), "id", "left_semi")
         branches.append(rels.select(F.lit("relation").alias("ftype"), "id", "is_area", "tags", *box(*BOUNDS)))
     return reduce(DataFrame.unionByName, branches)

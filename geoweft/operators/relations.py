@@ -58,13 +58,13 @@ def break_cycles(graph: Graph) -> tuple[DataFrame, DataFrame]:
     return materialize(links.join(removed, ["src", "dst"], "left_anti"), "acyclic"), removed
 
 
-def levels(graph: Graph) -> DataFrame:
+def levels(graph: Graph, links: DataFrame | None = None) -> DataFrame:
     """Every relation with `level`: 0 without relation members, else one more than its highest member; `omitted` beyond MOST_LEVEL.
 
-    Links of cycles are broken first. Round k keeps the relations that have a way down of k links, so there are as many rounds
+    Links of cycles are broken first, unless `links` are those left. Round k keeps the relations that have a way down of k links, so there are as many rounds
     as levels that count, whatever the depth.
     """
-    links, _ = break_cycles(graph)
+    links = links if links is not None else break_cycles(graph)[0]
     reach = links.select(F.col("src").alias("id")).distinct()
     parts = [graph.ids("relation").select("id", F.lit(0).alias("level"))]
     for level in range(1, MOST_LEVEL + 2):
@@ -100,11 +100,19 @@ def relation_bounds(graph: Graph) -> DataFrame:
     return done.where("a is not null").select("id", F.col("a").alias("minx"), F.col("b").alias("miny"), (-F.col("c")).alias("maxx"), (-F.col("d")).alias("maxy"))
 
 
-def synthetic_relation_tags(graph: Graph) -> DataFrame:
-    """Relations with tags added: MISSING_MEMBERS and REMOVED_REFCYCLES with their numbers, where not zero."""
-    _, removed = break_cycles(graph)
+def kept_members(resolved: DataFrame, removed: DataFrame) -> DataFrame:
+    """Rows of `assemble.resolved_members` that a store has: found ones, without the links removed from cycles."""
+    return resolved.where("found").join(removed.select(F.lit("relation").alias("mtype"), F.col("src").alias("id"), F.col("dst").alias("ref")), ["mtype", "id", "ref"], "left_anti")
+
+
+def synthetic_relation_tags(graph: Graph, resolved: DataFrame | None = None, removed: DataFrame | None = None) -> DataFrame:
+    """Relations with tags added: MISSING_MEMBERS and REMOVED_REFCYCLES with their numbers, where not zero.
+
+    Tags of these names in the data give way. `resolved` and `removed` are resolved members and links removed from cycles, if known.
+    """
+    removed = removed if removed is not None else break_cycles(graph)[1]
     lost = removed.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("lost"))
-    j = graph.relations("tags").join(assemble.missing_members(graph).select("id", "missing"), "id", "left").join(lost, "id", "left")
+    j = graph.relations("tags").join(assemble.missing_members(graph, resolved).select("id", "missing"), "id", "left").join(lost, "id", "left")
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
     extra = lambda c, k: F.when(F.coalesce(F.col(c), F.lit(0)) > 0, F.create_map(F.lit(k), F.col(c).cast("string"))).otherwise(none)
-    return j.select("id", F.map_concat(F.coalesce("tags", none), extra("missing", T.MISSING_MEMBERS), extra("lost", T.REMOVED_REFCYCLES)).alias("tags"))
+    return j.select("id", F.map_concat(F.map_filter(F.coalesce("tags", none), lambda k, v: ~k.isin(T.MISSING_MEMBERS, T.REMOVED_REFCYCLES)), extra("missing", T.MISSING_MEMBERS), extra("lost", T.REMOVED_REFCYCLES)).alias("tags"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from geoweft.functions import mercator, text
 from geoweft.functions import tags as T
-from geoweft.model import Graph, member_type
+from geoweft.model import MEMBERS, Graph, member_type
 from geoweft.operators import area, assemble, geometry, hierarchy, relations, strings, tiling
 from geoweft.operators.features import BOUNDS, features
 from geoweft.plans import selector
@@ -95,18 +95,29 @@ class Store:
             sized.coalesce(1).write.parquet(f"{self.path}/{name}")
         tiling.assign_points(nodes, kept, levels).repartitionByRange("tile", "id").sortWithinPartitions("tile", "id").write.parquet(f"{self.path}/nodes")
         found = T.categories(F.col("tags"), T.parse_indexed_keys(o.indexed_keys))
-        f = features(graph, True, T.parse_area_rules(o.areas))
-        deep = relations.levels(graph).where("omitted").select(F.lit("relation").alias("ftype"), "id")
-        f = f.join(deep, ["ftype", "id"], "left_anti")
+        acyclic, removed = relations.break_cycles(graph)
+        resolved = materialize(assemble.resolved_members(graph), "resolved")
+        kept_members = relations.kept_members(resolved, removed)
+        f = features(graph, True, T.parse_area_rules(o.areas), relation_tags=relations.synthetic_relation_tags(graph, resolved, removed))
+        deep = relations.levels(graph, acyclic).where("omitted").select(F.lit("relation").alias("ftype"), "id")
+        # Written in steps, so that each plan stays small.
+        f = materialize(f.join(deep, ["ftype", "id"], "left_anti"), "features")
         f = f.withColumns({"category": T.category(found), "index_bits": T.index_bits(found), "itype": F.when(F.col("is_area"), "a").otherwise(F.substring("ftype", 1, 1))})
-        f = f.join(assemble.parents(graph), ["ftype", "id"], "left")
-        shapes = geometry.geometries(graph).select("ftype", "id", "whole", "parts")
+        f = f.join(assemble.parents(graph, kept_members), ["ftype", "id"], "left")
+        shapes = materialize(geometry.geometries(graph).select("ftype", "id", "whole", "parts"), "shapes")
         f = f.join(shapes, ["ftype", "id"], "left")
         if o.waynode_ids:
             f = f.join(graph.ways("node_ids").select(F.lit("way").alias("ftype"), "id", "node_ids"), ["ftype", "id"], "left")
         else:
             f = f.withColumn("node_ids", F.lit(None).cast("array<bigint>"))
-        f = f.join(graph.relations("members").select(F.lit("relation").alias("ftype"), "id", "members"), ["ftype", "id"], "left")
+        held = F.array_sort(F.collect_list(F.struct("pos", F.col("mtype").alias("type"), "ref", "role"))).cast(MEMBERS)
+        f = f.join(kept_members.groupBy(F.lit("relation").alias("ftype"), "id").agg(held.alias("members")), ["ftype", "id"], "left")
+        f = f.withColumn("members", F.when(F.col("ftype") == "relation", F.coalesce("members", F.array().cast(MEMBERS))))
+        # All members, missing ones too, for `graph`: changes may bring them.
+        if o.waynode_ids:
+            f = f.join(graph.relations("members").select(F.lit("relation").alias("ftype"), "id", F.col("members").alias("source_members")), ["ftype", "id"], "left")
+        else:
+            f = f.withColumn("source_members", F.lit(None).cast(MEMBERS))
         placed = tiling.assign_bounds(f.withColumns({b: F.coalesce(b, F.lit(0).cast("long")) for b in BOUNDS}), kept, levels)
         middle = lambda a, b: F.floor((F.col(a) + F.col(b)) / 2)
         ordered = placed.withColumn("hilbert", mercator.hilbert(middle("minx", "maxx"), middle("miny", "maxy")))
@@ -308,7 +319,7 @@ class Store:
         tagged = f.where("ftype = 'node'").select("id", real)
         nodes = self.table("nodes").select("id", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y")).join(tagged, "id", "left").select("id", *one, "x", "y", "tags")
         kind = lambda t: f.where(F.col("ftype") == t)
-        return Graph(nodes, kind("way").select("id", *one, "node_ids", real), kind("relation").select("id", *one, "members", real))
+        return Graph(nodes, kind("way").select("id", *one, "node_ids", real), kind("relation").select("id", *one, F.col("source_members").alias("members"), real))
 
     def update(self, changes: DataFrame, path: str, revision: dict[str, str] | None = None) -> Store:
         """The store after changes, written to `path`: the same as a build from the merged elements. The store must be updatable."""

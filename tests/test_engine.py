@@ -334,6 +334,24 @@ def test_store_finds_relations_by_bounds_and_by_members(folder, spark, tmp_path)
     assert inside("ra[mark]", "-2 -2 -1 -2 -1 -1 -2 -1") == set()
 
 
+def test_store_has_tags_and_members_of_a_build(folder, spark, tmp_path):
+    late = r(8, [("n", 5, ""), ("n", 1234, ""), ("w", 6, "")], {"type": "x", T.MISSING_MEMBERS: "77"})
+    g = Graph.load(spark, folder(nodes=NODES, ways=WAYS, relations=[*RELATIONS, late]))
+    store = Store.build(g, str(tmp_path / "store"), BuildOptions(min_tile_density=1, updatable=True))
+    f = {x.id: x for x in store.features("ra").where("ftype = 'relation'").collect()}
+    synthetic = {i: {k: v for k, v in x.tags.items() if k.startswith(T.SYNTHETIC)} for i, x in f.items()}
+    assert synthetic == {1: {T.MISSING_MEMBERS: "1"}, 2: {}, 3: {}, 4: {}, 5: {T.REMOVED_REFCYCLES: "1"}, 6: {}, 8: {T.MISSING_MEMBERS: "2"}}
+    assert {x.id for x in store.features(f"ra[{T.MISSING_MEMBERS}]").collect()} == {1, 8}
+    members = {i: [(m.pos, m.type, m.ref, m.role) for m in x.members] for i, x in f.items()}
+    assert members[1] == [(0, "way", 9, "outer"), (1, "way", 13, "outer")] and members[5] == [(0, "node", 5, "")] and members[8] == [(0, "node", 5, "")]
+    assert f[6].parents is None and f[5].parents == [6]
+    # Missing members are still known to updates: one that comes later resolves.
+    (tmp_path / "c.osc").write_text('<osmChange version="0.6"><create><node id="1234" version="1" lat="1.5" lon="-2"/></create></osmChange>')
+    after = store.update(osc.read_changes(spark, str(tmp_path / "c.osc")), str(tmp_path / "after"))
+    got = {x.id: x for x in after.features("r").collect()}
+    assert got[8].tags[T.MISSING_MEMBERS] == "1" and [m.ref for m in got[8].members] == [5, 1234]
+
+
 def test_store_and_commands(graph, spark, tmp_path, folder, capsys):
     source = os.path.dirname(graph.tables["node"].inputFiles()[0].removeprefix("file://")).rsplit("/", 1)[0]
     s = str(tmp_path / "store")
