@@ -163,14 +163,15 @@ def _crosses(p: np.ndarray, q: np.ndarray, a: np.ndarray, b: np.ndarray) -> bool
 
 
 def shape_meets(shape: np.ndarray, closed: bool, area: bool, rings: list[np.ndarray]) -> bool:
-    """Whether a line, ring or area meets an area: a corner inside, an edge that crosses, or the area's corner inside a feature's area."""
+    """Whether a line, ring or area meets an area: a corner inside, an edge that crosses, or a corner of any ring of the area inside a feature's area."""
     if inside_rings(shape[:, 0], shape[:, 1], rings).any():
         return True
     line = np.concatenate([shape, shape[:1]]) if closed else shape
     a, b = np.concatenate([r[:-1] for r in rings]), np.concatenate([r[1:] for r in rings])
     if len(line) > 1 and _crosses(line[:-1], line[1:], a, b):
         return True
-    return area and bool(inside_rings(rings[0][:1, 0], rings[0][:1, 1], [line]).any())
+    corners = np.stack([r[0] for r in rings])
+    return area and bool(inside_rings(corners[:, 0], corners[:, 1], [line]).any())
 
 
 def points_in_area(points: DataFrame, rings: list[Ring]) -> DataFrame:

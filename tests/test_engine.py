@@ -136,6 +136,15 @@ def test_area_literals():
     assert area.shape_meets(np.array([[-5, -5], [20, -5], [20, 20], [-5, 20]]), True, True, square)
 
 
+def test_feature_around_a_later_polygon():
+    rings = area.ring_units(area.parse_rings("MULTIPOLYGON(((50 50,51 50,51 51,50 50)),((1 1,2 1,2 2,1 1)))"))
+    around = area.ring_units([[(0, 0), (5, 0), (5, 5), (0, 5), (0, 0)]])[0]
+    away = area.ring_units([[(10, 0), (15, 0), (15, 5), (10, 5), (10, 0)]])[0]
+    for order in (rings, rings[::-1]):
+        assert area.shape_meets(around, False, True, order) and not area.shape_meets(around, False, False, order)
+        assert not area.shape_meets(away, False, True, order)
+
+
 def test_assembly(graph):
     status = {x.id: (x.n_refs, x.n_missing, x.closed, x.status) for x in assemble.way_status(graph).collect()}
     assert status[6][3] == "missing" and status[7][3] == "short" and status[8][3] == "ring" and status[10][3] == "missing" and status[11] == (0, 0, False, "short") and status[14][3] == "missing"
