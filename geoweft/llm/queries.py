@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from geoweft.llm import canonical, frequency, mixing, packing
 from geoweft.llm.tokens import count_tokens
+from geoweft.operators import hierarchy
 from geoweft.session import materialize, table
 
 
@@ -35,10 +36,23 @@ def _sizes(spark: SparkSession, folder: str, *also) -> DataFrame:
     return materialize(documents.select("doc_id", *also, count_tokens(F.col("text")).alias("n_tokens")), "sizes")
 
 
+def _clusters(sizes: DataFrame) -> DataFrame:
+    """`cluster` for `paper` and `digest`: papers and equal texts that rows connect, by the least name among them; null for a row alone."""
+    shared = materialize(sizes.where("digest is not null").groupBy("digest").count().where("count > 1").select("digest"), "shared")
+    rows = sizes.join(shared.withColumn("_s", F.lit(True)), "digest", "left")
+    paper, copy = F.concat(F.lit("p"), "paper"), F.when(F.col("_s"), F.concat(F.lit("t"), "digest"))
+    ties = rows.where("paper is not null and _s").select(paper.alias("src"), copy.alias("dst")).distinct()
+    links = materialize(ties.unionByName(ties.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), "ties")
+    groups = hierarchy.propagate_min(links, links.select(F.col("src").alias("id"), F.col("src").alias("label")).distinct())
+    named = rows.withColumn("id", F.coalesce(paper, copy)).join(groups, "id", "left")
+    return named.withColumn("cluster", F.coalesce("label", "id")).drop("id", "label", "_s", "paper", "digest")
+
+
 def p7_packed(spark: SparkSession, folder: str) -> DataFrame:
-    """Every text, or its pieces where it exceeds a capacity, in a container of every kind. Copies and revisions of a paper stay apart."""
-    sizes = _sizes(spark, folder, mixing.source_name(F.col("source")).alias("source"), F.nullif(F.trim("paper_key"), F.lit("")).alias("cluster"))
-    return packing.pack(sizes, table(spark, folder, "containers"))
+    """Every text, or its pieces where it exceeds a capacity, in a container of every kind. Copies and revisions of a paper stay apart, as do equal texts."""
+    digest = F.when(F.col("text") != "", F.md5("text")).alias("digest")
+    sizes = _sizes(spark, folder, mixing.source_name(F.col("source")).alias("source"), F.nullif(F.trim("paper_key"), F.lit("")).alias("paper"), digest)
+    return packing.pack(materialize(_clusters(sizes), "clusters"), table(spark, folder, "containers"))
 
 
 def p7_fill(spark: SparkSession, folder: str) -> DataFrame:

@@ -189,3 +189,11 @@ def test_hot_groups(folder, spark):
     assert packed.count() == 301 and packed.where("doc_id % 3 = 0 and doc_id < 999").select("container_id").distinct().count() == 100
     assert ("value", "yes", "common") in rows(queries.p1_found(spark, d))
     assert queries.p1_counts(spark, d).where(F.col("term") == "name").collect()[0].occurrences == 300
+
+
+def test_equal_texts_of_other_papers_stay_apart(spark, folder):
+    doc = lambda i, text, paper: {"doc_id": i, "text": text, "source": "s", "paper_key": paper}
+    docs = [doc(1, "same words", "a"), doc(2, "same words", "b"), doc(3, "another", "a"), doc(4, "more", "b"), doc(5, "same words", None), doc(6, "alone", None), doc(7, "", None), doc(8, "", None)]
+    d = folder(documents=docs, containers=[{"container_kind": "k", "capacity_tokens": 1000}])
+    placed = {x.doc_id: x.container_id for x in queries.p7_packed(spark, d).collect()}
+    assert len(placed) == 8 and len({placed[i] for i in range(1, 6)}) == 5 and len(set(placed.values())) == 5
