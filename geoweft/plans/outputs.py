@@ -13,7 +13,7 @@ from geoweft.operators.features import features, selected
 from geoweft.plans.engine import BOX, DENSITY, LEVELS
 from geoweft.plans.oracles import _HITS, _ROLL, BASE
 from geoweft.plans.updates import _CH, _both
-from geoweft.session import materialize, table
+from geoweft.session import filesystem, materialize, table
 from geoweft.sinks import formats, osm
 from geoweft.store import BuildOptions, Store, rebuild
 
@@ -119,12 +119,17 @@ def delta_decode(spark: SparkSession, folder: str) -> DataFrame:
     return coded.withColumn("decoded", F.sum("delta").over(w.rowsBetween(Window.unboundedPreceding, 0))).select("id", "pos", "delta", "decoded")
 
 
-_STORES: dict[tuple[str, str], Store] = {}
+_STORES: dict[tuple, Store] = {}
 
 
 def _store(spark: SparkSession, folder: str) -> Store:
-    """The store of a folder, built once per application as one builds it once for all queries."""
-    key = (spark.sparkContext.applicationId, folder)
+    """The store of a folder, built once per application and state of its files as one builds it once for all queries."""
+    files = []
+    for name in ("nodes", "ways", "relations"):
+        fs, where = filesystem(spark, f"{folder}/{name}.parquet")
+        found = fs.listStatus(where)
+        files += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found]
+    key = (spark.sparkContext.applicationId, folder, *sorted(files))
     if key not in _STORES:
         _STORES[key] = rebuild(Graph.load(spark, folder), BuildOptions(min_tile_density=DENSITY, updatable=True))
     return _STORES[key]

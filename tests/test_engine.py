@@ -16,7 +16,7 @@ from geoweft.functions import tags as T
 from geoweft.model import Graph
 from geoweft.operators import area, assemble, changeset, closure, geometry, relations, strings, tiling
 from geoweft.operators.features import features
-from geoweft.plans import selector
+from geoweft.plans import outputs, selector
 from geoweft.sinks import formats, osm
 from geoweft.sources import osc, pbf, wire
 from geoweft.store import BuildOptions, Store, StoreError
@@ -361,6 +361,33 @@ def test_store_has_tags_and_members_of_a_build(folder, spark, tmp_path):
     assert got[8].tags[T.MISSING_MEMBERS] == "1" and [m.ref for m in got[8].members] == [5, 1234]
 
 
+def test_store_of_a_folder_follows_its_files(folder, spark, tmp_path, monkeypatch):
+    d = folder(nodes=NODES)
+    built = []
+    monkeypatch.setattr(outputs, "rebuild", lambda g, o: built.append(g) or len(built))
+    assert outputs._store(spark, d) == outputs._store(spark, d) == 1
+    spark.createDataFrame([(1, 0, 0)], "id long, x int, y int").write.mode("overwrite").parquet(f"{d}/nodes.parquet")
+    assert outputs._store(spark, d) == 2
+
+
+def test_violations_are_found(spark, tmp_path):
+    part = lambda x, y: [("point", [[(x, y)]])]
+    base = ("n", "node", False, {"a": "b"}, 5, 5, 5, 5, "0/0/0", part(5, 5), None)
+    names = "itype string, ftype string, is_area boolean, tags map<string,string>, minx long, miny long, maxx long, maxy long, tile string, parts array<struct<kind:string,rings:array<array<struct<x:long,y:long>>>>>, parents array<long>"
+    at = {c.split()[0]: i for i, c in enumerate(names.split(", "))}
+    faults = [
+        (1, {}, set()), (0, {}, {"id is zero"}), (50_000_000_001, {}, {"id is very large"}), (2, {}, {"id comes twice"}), (2, {}, {"id comes twice"}), (3, {"tile": None}, {"no tile"}), (4, {"tile": "1/0/0"}, {"node outside its tile"}),
+        (5, {"tags": {T.ORPHAN: "yes"}, "parents": [9]}, {"orphan is a member"}), (6, {"tags": {T.DUPLICATE: "no"}}, {"synthetic tag is not yes"}), (7, {"tags": {T.ORPHAN: "yes", "a": "b"}}, {"synthetic tag beside others"}),
+        (8, {"minx": 6}, {"empty bounds", "bounds are not tight"}), (9, {"maxx": 7}, {"bounds are not tight"}), (10, {"is_area": True}, {"node is an area", "wrong index"}), (11, {"itype": "w"}, {"wrong index"}),
+    ]
+    data = [(i, *(more.get(c, v) for c, v in zip(at, base))) for i, more, _ in faults]
+    spark.createDataFrame(data, f"id long, {names}").write.parquet(str(tmp_path / "bad" / "features"))
+    got = {}
+    for x in Store(spark, str(tmp_path / "bad")).violations().collect():
+        got.setdefault(x.id, set()).add(x.problem)
+    assert got == {i: want for i, _, want in faults if want}
+
+
 def test_store_and_commands(graph, spark, tmp_path, folder, capsys):
     source = os.path.dirname(graph.tables["node"].inputFiles()[0].removeprefix("file://")).rsplit("/", 1)[0]
     s = str(tmp_path / "store")
