@@ -1,7 +1,9 @@
-"""Ear clipping, and a bounding-volume hierarchy of triangles with exact tests. Coordinates are integers of up to 33 bits."""
+"""Ear clipping, and a bounding-volume hierarchy of triangles or boxes with exact tests. Coordinates are integers of 32 bits with sign."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 Point = tuple[int, int]
@@ -49,66 +51,98 @@ def ear_clip(ring: list[Point]) -> list[tuple[Point, Point, Point]]:
     return [*out, tuple(pts)]
 
 
+def clip_boxes(x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray) -> np.ndarray:
+    """Six corner coordinates of the two triangles of each box, those of box i at rows 2 i and 2 i + 1: any corner of a box is an ear."""
+    out = np.stack([x0, y1, x0, y0, x1, y0, x1, y0, x1, y1, x0, y1], 1)
+    return out.reshape(-1, 6)
+
+
+def curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Position of each point on the Hilbert curve of order 16 over the whole square."""
+    x, y = (x.astype(np.int64) + 2**31) >> 16, (y.astype(np.int64) + 2**31) >> 16
+    d = np.zeros(len(x), np.int64)
+    for bit in range(15, -1, -1):
+        s = 1 << bit
+        rx, ry = (x & s) > 0, (y & s) > 0
+        d += s * s * ((3 * rx) ^ ry)
+        flip = rx & ~ry
+        x, y = np.where(flip, 0xFFFF - x, x), np.where(flip, 0xFFFF - y, y)
+        x, y = np.where(ry, x, y), np.where(ry, y, x)
+    return d
+
+
+def _inside(corners: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether each point, which lies in the box of its triangle, is in the triangle, edges included."""
+    neg, pos = np.zeros(len(x), bool), np.zeros(len(x), bool)
+    for i, j in ((0, 2), (2, 4), (4, 0)):
+        px, py, qx, qy = corners[:, i], corners[:, i + 1], corners[:, j], corners[:, j + 1]
+        # The two products are compared, not subtracted: each is exact, their difference need not be.
+        one, two = (y - py) * (qx - px), (x - px) * (qy - py)
+        neg |= one < two
+        pos |= one > two
+    return ~(neg & pos)
+
+
 class Hierarchy:
-    """Boxes around boxes around triangles: rows of region and three corners, halved at the median of the wider axis."""
-
-    LEAF = 8
-
-    def __init__(self, rows: np.ndarray) -> None:
-        self.rows = rows
-        x, y = rows[:, [1, 3, 5]], rows[:, [2, 4, 6]]
-        self.low = np.stack([x.min(1), y.min(1)], 1) if len(rows) else np.empty((0, 2), np.int64)
-        self.high = np.stack([x.max(1), y.max(1)], 1) if len(rows) else np.empty((0, 2), np.int64)
-        self.nodes: list[tuple] = []
-        if len(rows):
-            self._build(np.arange(len(rows)))
-
-    def _build(self, members: np.ndarray) -> int:
-        at = len(self.nodes)
-        low, high = self.low[members].min(0), self.high[members].max(0)
-        self.nodes.append(())
-        if len(members) <= self.LEAF:
-            self.nodes[at] = (low, high, members, -1, -1)
-            return at
-        centre = self.low[members] + self.high[members]
-        axis = int(np.ptp(centre[:, 1]) > np.ptp(centre[:, 0]))
-        order = members[np.argsort(centre[:, axis], kind="stable")]
-        half = len(order) // 2
-        self.nodes[at] = (low, high, None, self._build(order[:half]), self._build(order[half:]))
-        return at
-
-    def containing(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of points and regions that contain them; a pair comes once, though triangles share edges."""
-        points, regions = [], []
-        stack = [(0, np.arange(len(x)))] if self.nodes else []
-        while stack:
-            node, idx = stack.pop()
-            low, high, members, left, right = self.nodes[node]
-            idx = idx[(x[idx] >= low[0]) & (x[idx] <= high[0]) & (y[idx] >= low[1]) & (y[idx] <= high[1])]
-            if not idx.size:
-                continue
-            if members is None:
-                stack += [(left, idx), (right, idx)]
+    """Boxes around boxes around items, packed along the Hilbert curve: FAN neighbours on it make one box of the level above.
+
+    Items are triangles (six corner coordinates each) or, without an exact test, boxes (the first four).
+    """
+
+    FAN = 8
+    #: Pairs of point and box looked at together: beyond it the points go in halves.
+    PAIRS = 1 << 20
+
+    def __init__(self, corners: np.ndarray, regions: np.ndarray | None = None, exact: bool = True) -> None:
+        used = corners if exact else corners[:, :4]
+        x, y = used[:, 0::2], used[:, 1::2]
+        low, high = np.stack([x.min(1), y.min(1)], 1), np.stack([x.max(1), y.max(1)], 1)
+        middle = (low + high) >> 1
+        self.order = np.argsort(curve(middle[:, 0], middle[:, 1]), kind="stable")
+        self.corners = corners[self.order] if exact else None
+        # Regions as small numbers.
+        self.regions = None if regions is None else np.unique(regions[self.order], return_inverse=True)[1]
+        self.levels = [(low[self.order], high[self.order])]
+        while len(self.levels[-1][0]) > 1:
+            low, high = self.levels[-1]
+            starts = np.arange(0, len(low), self.FAN)
+            self.levels.append((np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts)))
+        # Within its box a triangle's products stay below 2 ** 62 unless it is wider than half the world.
+        self.wide = exact and bool(len(low)) and int((self.levels[-1][1] - self.levels[-1][0]).max()) >= 2**31
+
+    def pairs(self, x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Points and items that hold them, as positions in what was given; of the items of one region that hold a point one comes.
+
+        All items of a point come in one step, in which a region is met once; steps are as small as the pairs of one of them ask for.
+        """
+        todo = [np.arange(len(x))] if len(self.levels[0][0]) else []
+        while todo:
+            points = todo.pop()
+            found = self._descend(points, x, y)
+            if found is None:
+                todo += [points[len(points) // 2 :], points[: len(points) // 2]]
                 continue
-            for m in members:
-                hit = self._test(m, x[idx], y[idx])
-                if hit.any():
-                    points.append(idx[hit])
-                    regions.append(np.full(int(hit.sum()), self.rows[m, 0]))
-        if not points:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        pairs = np.unique(np.stack([np.concatenate(points), np.concatenate(regions)], 1), axis=0)
-        return pairs[:, 0], pairs[:, 1]
-
-    def _test(self, m: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        (x0, y0), (x1, y1) = self.low[m], self.high[m]
-        boxed = (x >= x0) & (x <= x1) & (y >= y0) & (y <= y1)
-        ax, ay, bx, by, cx, cy = (int(v) for v in self.rows[m, 1:])
-        neg, pos = np.zeros(len(x), bool), np.zeros(len(x), bool)
-        for (px, py), (qx, qy) in (((ax, ay), (bx, by)), ((bx, by), (cx, cy)), ((cx, cy), (ax, ay))):
-            # The two products are compared, not subtracted: each is exact, their difference need not be.
-            one = (y - py).astype(_WIDE) * (qx - px)
-            two = (x - px).astype(_WIDE) * (qy - py)
-            neg |= one < two
-            pos |= one > two
-        return boxed & ~(neg & pos)
+            at, item = found
+            if self.regions is not None and len(at):
+                _, first = np.unique(at * len(self.regions) + self.regions[item], return_index=True)
+                at, item = at[first], item[first]
+            if len(at):
+                yield at, self.order[item]
+
+    def _descend(self, points: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        at, node = points, np.zeros(len(points), np.int64)
+        for depth, (low, high) in enumerate(reversed(self.levels)):
+            if depth:
+                if len(at) * self.FAN > self.PAIRS and len(points) > 1:
+                    return None
+                node = (node[:, None] * self.FAN + np.arange(self.FAN)).ravel()
+                at = np.repeat(at, self.FAN)
+                at, node = at[node < len(low)], node[node < len(low)]
+            px, py = x[at], y[at]
+            keep = (px >= low[node, 0]) & (px <= high[node, 0]) & (py >= low[node, 1]) & (py <= high[node, 1])
+            at, node = at[keep], node[keep]
+        if self.corners is not None:
+            number = _WIDE if self.wide else np.int64
+            keep = _inside(self.corners[node].astype(number), x[at].astype(number), y[at].astype(number))
+            at, node = at[keep], node[keep]
+        return at, node

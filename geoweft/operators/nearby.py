@@ -1,52 +1,70 @@
 """Points near other points, and regions containing points.
 
-Near: one cell of a power-of-two grid per site, at most four per point, an equi-join on the cell, an exact test.
-Inside: polygons are triangulated by ear clipping, the triangles are arranged in a bounding-volume hierarchy, points descend
-it in vectors, and the candidate triangles are tested exactly. Triangles within a stated bound are sent to every task;
-more of them are split by the upper part of the hierarchy and met by the points at its leaves.
+Polygons are triangulated by ear clipping, the triangles are arranged in a bounding-volume hierarchy, points descend it in
+vectors, and the candidate triangles are tested exactly. What is near a point lies in the square around it, which is a polygon
+like others, and within the exact distance. The lower hierarchies, one per leaf, are built in the tasks to which the leaves are distributed;
+the upper one is the same over the boxes of the leaves. How many items there are decides how they travel, never which pairs come out.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoweft.functions.triangles import Hierarchy, ear_clip
+from geoweft.functions.mercator import hilbert
+from geoweft.functions.triangles import Hierarchy, clip_boxes, ear_clip
+from geoweft.session import materialize, materialize_counted, partitions
 
 WORLD = 2**32
+CORNERS = ["ax", "ay", "bx", "by", "cx", "cy"]
+CORNER_SCHEMA = ", ".join(f"{c} long" for c in CORNERS)
+#: Most items that are collected and sent to all tasks.
+BOUND = 50_000
+#: Items of a leaf, whose hierarchy is built in one task.
+LEAF_ITEMS = 2_048
+#: Points that one task takes of a leaf, unless that made more than HOT_LEAVES leaves hot.
+POINTS_PER_TASK, HOT_LEAVES = 500_000, 1_000
 
 
-def near_pairs(points: DataFrame, point_columns: Sequence[str], sites: DataFrame, site_columns: Sequence[str], radius: int, period: int = WORLD) -> DataFrame:
+def near_pairs(points: DataFrame, point_columns: Sequence[str], sites: DataFrame, site_columns: Sequence[str], radius: int, period: int = WORLD, broadcast_bound: int = BOUND, leaf_size: int = LEAF_ITEMS) -> DataFrame:
     """Pairs of rows, as `p` (struct of `point_columns`) and `s` (struct of `site_columns`), at a straight distance of at most `radius`; `x` runs around with `period`.
 
     Both sides have integer `x`, `y`; rows with a null coordinate are near nothing. A pair comes once per point row and site row.
-    The cell is at least four radii wide, so a site is compared with few points beyond those near it, however dense the place.
-    A cell that holds much of either side is split by the skew join of adaptive execution; nothing is capped.
+    The square around each point is cut into triangles (four if it runs across the seam), sites are found in these as in any
+    region, and the exact distance decides.
     """
-    cell = 1 << max(1, math.ceil(math.log2(4 * max(radius, 1))))
-    if period % cell:
-        raise ValueError("the period must be a multiple of the cell, a power of two of at least four radii")
-    around = period // cell
-    cx = lambda x: F.pmod(F.floor((x + F.lit(period // 2)) / cell), F.lit(around))
-    cy = lambda y: F.floor(y / cell)
     x, y = F.col("x").cast("long"), F.col("y").cast("long")
-    low, high = F.lit(-radius).cast("long"), F.lit(radius).cast("long")
-    p = points.where("x is not null and y is not null").select(
-        F.struct(*point_columns).alias("p"),
-        x.alias("_px"),
-        y.alias("_py"),
-        F.explode(F.array_distinct(F.array(*(F.struct(cx(x + a).alias("cx"), cy(y + b).alias("cy")) for a in (low, high) for b in (low, high))))).alias("_c"),
-    )
-    s = sites.where("x is not null and y is not null").select(F.struct(*site_columns).alias("s"), x.alias("_sx"), y.alias("_sy"), cx(x).alias("_cx"), cy(y).alias("_cy"))
-    straight = F.abs(F.col("_px") - F.col("_sx"))
-    dx, dy = F.least(straight, F.lit(period) - straight), F.abs(F.col("_py") - F.col("_sy"))
-    hit = (dx <= radius) & (dy <= radius) & (dx * dx + dy * dy <= radius * radius)
-    return p.join(s, (p["_c.cx"] == s["_cx"]) & (p["_c.cy"] == s["_cy"]) & hit).select("p", "s")
+    there = lambda df: df.where("x is not null and y is not null")
+    # Row numbers are written once: they tell the squares of equal rows apart.
+    numbered, n = materialize_counted(there(points).select(F.struct(F.struct(*point_columns).alias("p"), x.alias("x"), y.alias("y")).alias("i"), x.alias("x"), y.alias("y"), F.monotonically_increasing_id().alias("region")), "points")
+    half = period // 2
+
+    def squares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            px, py, reach = b["x"].to_numpy(), b["y"].to_numpy(), min(radius, half)
+            x0, x1 = px - reach, px + reach
+            west, east = x0 < -half, x1 > half - 1
+            at = np.concatenate([np.arange(len(px)), np.flatnonzero(west), np.flatnonzero(east)])
+            lows = np.concatenate([np.maximum(x0, -half), x0[west] + period, np.full(int(east.sum()), -half)])
+            highs = np.concatenate([np.minimum(x1, half - 1), np.full(int(west.sum()), half - 1), x1[east] - period])
+            corners = clip_boxes(lows, py[at] - radius, highs, py[at] + radius)
+            twice = pa.array(np.repeat(at, 2))
+            yield pa.RecordBatch.from_arrays([b["region"].take(twice), b["i"].take(twice), *(pa.array(c) for c in corners.T)], names=["region", "i", *CORNERS])
+
+    triangles = numbered.mapInArrow(squares, f"region long, i {numbered.schema['i'].dataType.simpleString()}, {CORNER_SCHEMA}")
+    places = there(sites).select(F.struct(F.struct(*site_columns).alias("s"), x.alias("x"), y.alias("y")).alias("p"), x.alias("x"), y.alias("y"))
+
+    def near(pairs: DataFrame) -> DataFrame:
+        straight = F.abs(F.col("p.x") - F.col("i.x"))
+        dx, dy = F.least(straight, F.lit(period) - straight), F.abs(F.col("p.y") - F.col("i.y"))
+        return pairs.where((dx <= radius) & (dx * dx + dy * dy <= radius * radius))
+
+    return _hits(places, triangles, True, broadcast_bound, leaf_size, near, 2 * n).select(F.col("i.p").alias("p"), F.col("p.s").alias("s"))
 
 
 def box_rings(bounds: tuple[int, int, int, int] | None, period: int = WORLD) -> list[list[tuple[int, int]]]:
@@ -82,90 +100,98 @@ def box_triangles(boxes: DataFrame, region: str, bounds: str, period: int = WORL
     return boxes.where(F.col(region).isNotNull()).select(F.col(region).cast("long").alias("region"), *fields).mapInPandas(rows, TRIANGLES)
 
 
-def inside_pairs(points: DataFrame, point_key: str, triangles: DataFrame, broadcast_bound: int = 50_000, leaf_size: int = 4096, sample: int = 100_000) -> DataFrame:
+def inside_pairs(points: DataFrame, point_key: str, triangles: DataFrame, broadcast_bound: int = BOUND, leaf_size: int = LEAF_ITEMS) -> DataFrame:
     """Pairs (`point_key`, `region`): the regions of which a triangle holds the point, edges included, once per point row.
 
-    Up to `broadcast_bound` triangles (of 56 bytes) are counted, collected and sent to all tasks as one hierarchy. Beyond it the
-    upper hierarchy is built from a sample of at most `sample` triangle centres (it only balances the leaves, every triangle is
-    used), triangles go to one leaf each, points to every leaf whose box holds them, both salted where many points meet.
-    Points with a null coordinate are inside nothing.
+    Points with a null coordinate are inside nothing; rows of equal keys are points of their own.
     """
-    key = points.schema[point_key].dataType.simpleString()
-    p = points.where("x is not null and y is not null").select(F.col(point_key).alias("_p"), F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"))
-    few = triangles.limit(broadcast_bound + 1).collect()
-    if len(few) <= broadcast_bound:
-        tree = points.sparkSession.sparkContext.broadcast(Hierarchy(np.array([tuple(t) for t in few], dtype=np.int64).reshape(-1, 7)))
-
-        def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                hit, region = tree.value.containing(b["x"].to_numpy(np.int64), b["y"].to_numpy(np.int64))
-                yield pd.DataFrame({point_key: b["_p"].to_numpy()[hit], "region": region})
-
-        return p.mapInPandas(test, f"{point_key} {key}, region long")
-    return _inside_split(p, point_key, key, triangles, leaf_size, sample)
-
-
-def _inside_split(p: DataFrame, point_key: str, key: str, triangles: DataFrame, leaf_size: int, sample: int) -> DataFrame:
-    from geoweft.session import materialize
+    x, y = F.col("x").cast("long"), F.col("y").cast("long")
+    places = points.where("x is not null and y is not null").select(F.struct(F.col(point_key).alias("key")).alias("p"), x.alias("x"), y.alias("y"))
+    items = triangles.select("region", F.struct("region").alias("i"), *CORNERS)
+    return _hits(places, items, True, broadcast_bound, leaf_size).select(F.col("p.key").alias(point_key), "region")
 
-    spark = p.sparkSession
-    t = materialize(triangles.withColumns({"mx": F.expr("(ax + bx + cx) / 3"), "my": F.expr("(ay + by + cy) / 3")}), "triangles")
-    n = t.count()
-    centres = np.array([tuple(r) for r in t.select("mx", "my").sample(min(1.0, sample / n), seed=1).limit(sample).collect()], dtype=float).reshape(-1, 2)
-    cuts = spark.sparkContext.broadcast(_median_cuts(centres, max(1, min(4096, math.ceil(n / leaf_size)))))
 
-    @F.pandas_udf("int")
-    def leaf_of(mx: pd.Series, my: pd.Series) -> pd.Series:
-        return pd.Series(_descend(cuts.value, np.stack([mx.to_numpy(float), my.to_numpy(float)], 1)))
+def _hits(points: DataFrame, items: DataFrame, exact: bool, bound: int, leaf_size: int, decide: Callable[[DataFrame], DataFrame] = lambda pairs: pairs, least: int = 0) -> DataFrame:
+    """`p`, `i`, `region`: points (`p`, `x`, `y`) with the items (`region`, `i`, CORNERS; `least` of them at least) that hold them, once per point row and region; `decide` filters pairs.
 
-    t = materialize(t.withColumn("leaf", leaf_of("mx", "my")), "leaves")
-    # One row per leaf, at most 4096: its true box, over all its triangles.
-    low = lambda a: F.min(F.least(f"a{a}", f"b{a}", f"c{a}"))
-    high = lambda a: F.max(F.greatest(f"a{a}", f"b{a}", f"c{a}"))
-    boxes = t.groupBy("leaf").agg(low("x"), low("y"), high("x"), high("y"), F.count("*")).collect()
-    held = spark.sparkContext.broadcast(np.array([tuple(b) for b in boxes], dtype=np.int64))
+    Up to `bound` items (counted; of some 100 bytes) are sent to all tasks as one hierarchy. More of them are put in the order of
+    the Hilbert curve, in which `leaf_size` neighbours make a leaf, however many share a centre. Leaves are found by this same function, for their
+    boxes are items in turn, a two-thousandth as many; so each point meets each item of its leaves, whatever the number of levels.
+    """
+    few = items.limit(bound + 1).toArrow() if least <= bound else None
+    if few is not None and few.num_rows <= bound:
+        tree = points.sparkSession.sparkContext.broadcast(_Leaf.of(few, exact))
 
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield from tree.value.meet(b, "x", "y")
+
+        return decide(points.mapInArrow(test, _pair_schema(points, items)))
+    # The region breaks ties, so that a place with a third of all items is spread over many tasks.
+    middle = F.struct(*((F.least(*(f"{c}{a}" for c in held)) + F.greatest(*(f"{c}{a}" for c in held))).alias(a) for held in ["abc" if exact else "ab"] for a in "xy"))
+    placed = items.withColumn("_m", middle).withColumn("_at", hilbert(F.shiftright("_m.x", 1), F.shiftright("_m.y", 1))).drop("_m")
+    ordered = placed.repartitionByRange("_at", "region").sortWithinPartitions("_at", "region")
+    # Numbers run within each partition: the upper bits are the partition's.
+    leaves = materialize(ordered.withColumn("_n", F.monotonically_increasing_id()).withColumn("leaf", F.expr(f"shiftleft(shiftright(_n, 33), 33) + pmod(_n, shiftleft(1L, 33)) div {leaf_size}")).drop("_at", "_n"), "leaves")
+    low = lambda a: F.min(F.least(*(f"{c}{a}" for c in ("abc" if exact else "ab"))))
+    high = lambda a: F.max(F.greatest(*(f"{c}{a}" for c in ("abc" if exact else "ab"))))
+    boxes = leaves.groupBy(F.col("leaf").alias("region")).agg(low("x").alias("ax"), low("y").alias("ay"), high("x").alias("bx"), high("y").alias("by"))
+    boxes, most = materialize_counted(boxes.select("region", F.struct(F.lit(0).alias("none")).alias("i"), "ax", "ay", "bx", "by", F.lit(0).cast("long").alias("cx"), F.lit(0).cast("long").alias("cy")), "boxes")
+    numbered = points.select(F.struct("p", "x", "y", F.monotonically_increasing_id().alias("row")).alias("p"), "x", "y")
+    routed, n = materialize_counted(_hits(numbered, boxes, False, max(bound, 2 * partitions(points.sparkSession)), leaf_size, least=most).select("p", F.col("region").alias("leaf")), "routed")
+    # Leaves that many points meet are taken by several tasks: by their share there are at most HOT_LEAVES of them.
+    many = max(POINTS_PER_TASK, n // HOT_LEAVES)
+    hot = routed.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > many).collect()
+    salts = F.coalesce(F.create_map(*(F.lit(v) for r in hot for v in (r["leaf"], -(-r["n"] // many))))[F.col("leaf")], F.lit(1)) if hot else F.lit(1)
+    none = lambda kind: F.lit(None).cast(kind)
+    left = leaves.select("leaf", F.explode(F.sequence(F.lit(0), salts.cast("int") - 1)).alias("salt"), F.lit(0).alias("side"), "region", "i", *CORNERS, none(routed.schema["p"].dataType).alias("p"))
+    right = routed.select("leaf", F.pmod(F.xxhash64("p.row"), salts).cast("int").alias("salt"), F.lit(1).alias("side"), none("long").alias("region"), none(items.schema["i"].dataType).alias("i"), F.col("p.x").alias("ax"), F.col("p.y").alias("ay"), *(none("long").alias(c) for c in CORNERS[2:]), "p")
+    both = left.unionByName(right).repartition("leaf", "salt").sortWithinPartitions("leaf", "salt", "side")
+    pairs = both.mapInArrow(_leafwise(exact), _pair_schema(routed, items))
+    met = decide(pairs.select("p.p", "i", "region", F.col("p.row").alias("_row")))
+    # Triangles of one region may lie in several leaves; boxes lie in one.
+    return (met.dropDuplicates(["_row", "region"]) if exact else met).select("p", "i", "region")
+
+
+def _pair_schema(points: DataFrame, items: DataFrame) -> str:
+    return f"p {points.schema['p'].dataType.simpleString()}, i {items.schema['i'].dataType.simpleString()}, region long"
+
+
+class _Leaf:
+    """The items of one leaf with their hierarchy."""
+
+    def __init__(self, tree: Hierarchy, i: pa.Array, region: pa.Array) -> None:
+        self.tree, self.i, self.region = tree, i, region
+
+    @classmethod
+    def of(cls, items: pa.Table, exact: bool) -> _Leaf:
+        held = lambda c: items[c].combine_chunks() if isinstance(items[c], pa.ChunkedArray) else items[c]
+        corners = np.stack([items[c].to_numpy() for c in CORNERS], 1).astype(np.int64) if items.num_rows else np.empty((0, 6), np.int64)
+        return cls(Hierarchy(corners, items["region"].to_numpy().astype(np.int64), exact), held("i"), held("region"))
+
+    def meet(self, points: pa.RecordBatch, x: str, y: str) -> Iterator[pa.RecordBatch]:
+        for at, item in self.tree.pairs(points[x].to_numpy(), points[y].to_numpy()):
+            yield pa.RecordBatch.from_arrays([points["p"].take(pa.array(at)), self.i.take(pa.array(item)), self.region.take(pa.array(item))], names=["p", "i", "region"])
+
+
+def _leafwise(exact: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows sorted by leaf, salt and side: a leaf's items are held, its points pass in batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, leaf = None, [], None
         for b in batches:
-            x, y = b["x"].to_numpy(np.int64), b["y"].to_numpy(np.int64)
-            for leaf, x0, y0, x1, y1, _ in held.value:
-                at = np.flatnonzero((x >= x0) & (x <= x1) & (y >= y0) & (y <= y1))
-                if at.size:
-                    yield b.iloc[at].assign(leaf=np.int32(leaf))
-
-    routed = materialize(p.mapInPandas(route, f"_p {key}, x long, y long, leaf int"), "routed")
-    load = {r["leaf"]: r["n"] for r in routed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
-    parts = {int(b[0]): max(1, math.ceil(load.get(b[0], 0) / 500_000)) for b in boxes}
-    salts = F.create_map(*(F.lit(v) for kv in parts.items() for v in kv))
-    points = routed.select("leaf", F.pmod(F.xxhash64("_p", "x", "y"), salts[F.col("leaf")]).cast("int").alias("salt"), "_p", "x", "y")
-    corners = t.select("leaf", F.explode(F.sequence(F.lit(0), salts[F.col("leaf")] - 1)).alias("salt"), "region", "ax", "ay", "bx", "by", "cx", "cy")
-
-    def meet(k, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        tree = Hierarchy(b[["region", "ax", "ay", "bx", "by", "cx", "cy"]].to_numpy(np.int64))
-        hit, region = tree.containing(a["x"].to_numpy(np.int64), a["y"].to_numpy(np.int64))
-        return pd.DataFrame({point_key: a["_p"].to_numpy()[hit], "region": region})
-
-    return points.groupBy("leaf", "salt").cogroup(corners.groupBy("leaf", "salt")).applyInPandas(meet, f"{point_key} {key}, region long").distinct()
-
-
-def _median_cuts(centres: np.ndarray, leaves: int) -> list[tuple[int, float]]:
-    """Axis and value of each inner node of a complete binary tree, heap order, with at least `leaves` leaves."""
-    depth = max(0, math.ceil(math.log2(leaves)))
-    cuts, parts = [], [centres]
-    for _ in range(depth):
-        nxt = []
-        for part in parts:
-            axis = int(len(part) > 0 and np.ptp(part[:, 1]) > np.ptp(part[:, 0]))
-            at = float(np.median(part[:, axis])) if len(part) else 0.0
-            cuts.append((axis, at))
-            nxt += [part[part[:, axis] <= at], part[part[:, axis] > at]]
-        parts = nxt
-    return cuts
-
-
-def _descend(cuts: list[tuple[int, float]], at: np.ndarray) -> np.ndarray:
-    node = np.zeros(len(at), dtype=np.int64)
-    axis, value = np.array([c[0] for c in cuts], dtype=int), np.array([c[1] for c in cuts], dtype=float)
-    for _ in range(int(math.log2(len(cuts) + 1))):
-        node = 2 * node + 1 + (at[np.arange(len(at)), axis[node]] > value[node])
-    return (node - len(cuts)).astype(np.int32)
+            if not b.num_rows:
+                continue
+            marks = np.stack([b[c].to_numpy().astype(np.int64) for c in ("leaf", "salt", "side")], 1)
+            ends = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(1)) + 1), len(marks)]
+            for i, j in zip(ends, ends[1:]):
+                now = tuple(marks[i, :2])
+                if now != key:
+                    key, held, leaf = now, [], None
+                if marks[i, 2] == 0:
+                    held.append(b.slice(i, j - i).select(["region", "i", *CORNERS]))
+                elif held:
+                    leaf = leaf or _Leaf.of(pa.Table.from_batches(held), exact)
+                    yield from leaf.meet(b.slice(i, j - i), "ax", "ay")
+
+    return run

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from geoweft.functions.bitmaps import Bitmap
-from geoweft.functions.triangles import Hierarchy, ear_clip, turn
+from geoweft.functions.triangles import Hierarchy, clip_boxes, ear_clip, turn
 from geoweft.operators import hierarchy, nearby, upsert, wide
 
 from .conftest import rows
@@ -36,8 +36,21 @@ def test_hierarchy_is_exact():
             boxed = min(ax, bx, cx) <= p[0] <= max(ax, bx, cx) and min(ay, by, cy) <= p[1] <= max(ay, by, cy)
             if boxed and (min(s) >= 0 or max(s) <= 0):
                 want.add((i, g))
-    hit, region = Hierarchy(t).containing(x, y)
-    assert set(zip(hit.tolist(), region.tolist())) == want and len(hit) == len(want)
+    tree = Hierarchy(t[:, 1:], t[:, 0])
+    for most in (Hierarchy.PAIRS, 40):
+        tree.PAIRS = most
+        got = [(int(i), int(t[j, 0])) for at, item in tree.pairs(x, y) for i, j in zip(at, item)]
+        assert set(got) == want and len(got) == len(want)
+
+
+def test_boxes_are_clipped_as_rings():
+    r = np.random.default_rng(2)
+    low = r.integers(-9, 9, (50, 2))
+    high = low + r.integers(0, 5, (50, 2))
+    flat = clip_boxes(low[:, 0], low[:, 1], high[:, 0], high[:, 1]).tolist()
+    for i, ((a, b), (c, d)) in enumerate(zip(low.tolist(), high.tolist())):
+        area = sum(abs(turn((t[0], t[1]), (t[2], t[3]), (t[4], t[5]))) for t in flat[2 * i : 2 * i + 2])
+        assert area == 2 * (c - a) * (d - b) == sum(abs(turn(*t)) for t in ear_clip([(a, b), (c, b), (c, d), (a, d)]))
 
 
 def test_inside_split_is_the_same(spark):
@@ -51,6 +64,20 @@ def test_inside_split_is_the_same(spark):
     assert sorted(map(tuple, nearby.inside_pairs(p, "seq", t, broadcast_bound=0, leaf_size=50).collect())) == want
 
 
+def test_one_answer_whatever_the_size(spark):
+    """Repeated keys, boxes and points at one place: each bound and leaf size gives the same rows, one per point row and region."""
+    box = lambda i, *b: (i, b)
+    boxes = [box(1, 0, 0, 10, 10), box(2, 8, 0, 20, 10)] + [box(100 + i, 4, 4, 6, 6) for i in range(60)]
+    points = [(7, 1, 1), (7, 1, 1), (8, 9, 5), (9, 5, 5), (9, 5, 5), (10, 50, 50)]
+    p = spark.createDataFrame(points, "seq long, x int, y int")
+    t = nearby.box_triangles(spark.createDataFrame(boxes, "area_id long, bounds struct<minx:int,miny:int,maxx:int,maxy:int>"), "area_id", "bounds")
+    want = sorted((s, i) for s, x, y in points for i, (a, b, c, d) in boxes if a <= x <= c and b <= y <= d)
+    near = sorted((s, q) for s, x, y in points for q, u, v in points if (x - u) ** 2 + (y - v) ** 2 <= 36)
+    for few in ({}, {"broadcast_bound": 0, "leaf_size": 8}):
+        assert sorted(map(tuple, nearby.inside_pairs(p, "seq", t, **few).collect())) == want
+        assert sorted((x.p.seq, x.s.seq) for x in nearby.near_pairs(p, ["seq"], p, ["seq"], 6, **few).collect()) == near
+
+
 @pytest.mark.parametrize("n, m", [(50, 60), (30_000, 50), (30_000, 40_000)])
 def test_bitmaps(n, m):
     r = np.random.default_rng(n + m)
