@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from geoweft.session import materialize, materialize_counted
 
-#: A set of jumps may have this many times the links; beyond it jumps no longer double and rounds go on with their stride.
-MOST_JUMPS = 8
+#: Jumps are kept to about this many times the links.
+JUMPS = 8
 
 
 def distinct_links(links: DataFrame, parent: str, child: str) -> DataFrame:
@@ -25,23 +25,34 @@ def distinct_links(links: DataFrame, parent: str, child: str) -> DataFrame:
     return links.select(F.col(parent).alias("src"), F.col(child).alias("dst")).where("src is not null and dst is not null").distinct()
 
 
-def _double(jumps: DataFrame, links: int) -> tuple[DataFrame, bool]:
-    """Pairs two jumps apart, and whether they were doubled at all: not beyond MOST_JUMPS times the links."""
+def _double(jumps: DataFrame, n: int, links: int, number: int) -> tuple[DataFrame, int]:
+    """Jumps two of `jumps` (`n` of them, from so many `links`) long, those of `jumps` that begin or end at a node which is passed by in this round, and their number.
+
+    A node with i jumps in and o out makes i * o of them. Where one of the two is 1, that is no more than there were. Other nodes share what
+    is left of JUMPS times the links in proportion to i + o, and are taken with the chance that keeps them to their share, by a hash of
+    the node and the round's `number`: a hub costs no more than its links, the ways beside it double all the same, and where all nodes are
+    hubs ways still shorten by a share each round. No jump is lost: what does not grow stays, so each way of links is a way of jumps too.
+    """
     a, b = jumps.select("src", F.col("dst").alias("mid")), jumps.select(F.col("src").alias("mid"), "dst")
-    more, n = materialize_counted(a.join(b, "mid").select("src", "dst").distinct(), "jumps")
-    return (more, True) if n <= MOST_JUMPS * links else (jumps, False)
+    degrees = a.groupBy("mid").agg(F.count("*").alias("_i")).join(b.groupBy("mid").agg(F.count("*").alias("_o")), "mid")
+    share = min(2.0, max(1 / 64, (JUMPS * links - n) / (2.0 * n)))
+    made, room = F.col("_i") * F.col("_o"), (F.col("_i") + F.col("_o")) * F.lit(share)
+    chance = F.pmod(F.xxhash64("mid", F.lit(number)), F.lit(1 << 20)) * made < room * (1 << 20)
+    nodes = degrees.select("mid", (F.least("_i", "_o") == 1).alias("_one"), chance.alias("_on")).select("mid", (F.col("_one") | F.col("_on")).alias("_on"))
+    on, off = nodes.where("_on").select("mid"), nodes.where("not _on").select("mid")
+    longer = a.join(on, "mid").join(b, "mid").select("src", "dst")
+    held = a.join(off, "mid").select("src", F.col("mid").alias("dst")).unionByName(b.join(off, "mid").select(F.col("mid").alias("src"), "dst"))
+    return materialize_counted(longer.unionByName(held).distinct(), "jumps")
 
 
 def propagate_min(links: DataFrame, labels: DataFrame, names: Sequence[str] = ("label",)) -> DataFrame:
     """For each node (`id`, `names`) the least of each label among its ancestors and itself, along `src` to `dst`; null is no label.
 
-    Jumps of 2^k links double each round; it ends when no link would change a label, so cycles do no harm.
+    Jumps double each round; it ends when no link would change a label, so cycles do no harm.
     """
-    n = links.count()
-    if not n:
-        return labels
-    jumps, growing = links, True
-    while True:
+    jumps, number, n = links, 0, links.count()
+    all_links = n
+    while all_links:
         step = (jumps if jumps is links else links.unionByName(jumps)).join(labels.withColumnRenamed("id", "src"), "src")
         best = step.groupBy(F.col("dst").alias("id")).agg(*(F.min(c).alias(f"_b_{c}") for c in names))
         less = lambda c: F.coalesce(F.col(f"_b_{c}") < F.col(c), F.col(f"_b_{c}").isNotNull() & F.col(c).isNull())
@@ -52,8 +63,10 @@ def propagate_min(links: DataFrame, labels: DataFrame, names: Sequence[str] = ("
         labels = materialize(new.select("id", *names), "labels")
         if not seen.get["n"]:
             return labels
-        if growing:
-            jumps, growing = _double(jumps, n)
+        if n:
+            jumps, n = _double(jumps, n, all_links, number)
+            number += 1
+    return labels
 
 
 def _nodes(links: DataFrame) -> DataFrame:
@@ -66,21 +79,20 @@ def _within(links: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _trim(links: DataFrame, n: int) -> tuple[DataFrame, int]:
-    """The links left and their number, from `n`: drop links that cannot be on a cycle: round k drops nodes that lack a way of 2^k links to or from them.
+    """The links left and their number, from `n`: drop links that cannot be on a cycle: each round drops nodes that lack a jump to or from them.
 
     It ends when a round drops nothing; what is left holds all cycles, and perhaps ways between them.
     """
-    jumps, growing = links, True
+    jumps, number, k, all_links = links, 0, n, n
     while n:
         keep = jumps.select(F.col("src").alias("id")).distinct().join(jumps.select(F.col("dst").alias("id")).distinct(), "id", "left_semi")
         kept, m = materialize_counted(_within(links, keep), "trim")
         if m == n:
             break
         links, n = kept, m
-        if growing and n:
-            jumps, growing = _double(_within(jumps, keep), n)
-        if not growing:
-            jumps = links
+        if n and k:
+            jumps, k = _double(_within(jumps, keep), k, all_links, number)
+            number += 1
     return links, n
 
 

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from geoweft.functions.bitmaps import Bitmap
 from geoweft.functions.triangles import Hierarchy, clip_boxes, ear_clip, turn
@@ -142,3 +143,32 @@ def test_long_chain_and_ring(spark):
     assert sorted(map(tuple, cycles.collect())) == [(100 + i, 100) for i in range(7)]
     paths = hierarchy.root_paths(links, cycles)
     assert {r["id"]: len(r["path"]) - 1 for r in paths.collect()} == {i: i for i in range(41)}
+
+
+def test_rounds_are_logarithmic_beside_hubs(spark, monkeypatch):
+    """A chain of a thousand links, alone, with a hub on it, and with a hub of no other link to it beside it: as many rounds, within a few."""
+    doubled = []
+    double = hierarchy._double
+    monkeypatch.setattr(hierarchy, "_double", lambda *a: doubled.append(a) or double(*a))
+    chain = [(i, i + 1) for i in range(1000)]
+    hub = lambda at: [(5000 + i, at) for i in range(60)] + [(at, 6000 + i) for i in range(60)]
+    for more in ([], hub(500), hub(9000)):
+        links = spark.createDataFrame(chain + more, "src long, dst long")
+        nodes = hierarchy._nodes(links)
+        doubled.clear()
+        got = {x.id: x.label for x in hierarchy.propagate_min(links, nodes.withColumn("label", F.col("id"))).collect()}
+        assert got[1000] == 0 and got.get(6059, 0) == (0 if more[:1] == [(5000, 500)] else 5000 if more else 0) and len(doubled) <= 14
+        doubled.clear()
+        assert hierarchy._trim(links, len(chain) + len(more))[1] == 0 and len(doubled) <= 14
+
+
+def test_labels_in_dense_layers(spark):
+    """Every node of a layer to every one of the next: jumps stay few, labels are exact, rounds fewer than layers."""
+    wide, deep = 12, 30
+    links = spark.createDataFrame([(100 * k + i, 100 * (k + 1) + j) for k in range(deep) for i in range(wide) for j in range(wide)], "src long, dst long")
+    labels = hierarchy.propagate_min(links, hierarchy._nodes(links).withColumn("label", F.col("id")))
+    assert {x.label for x in labels.where(f"id >= {100 * deep}").collect()} == {0}
+    jumps, n, all_links = links, links.count(), links.count()
+    for k in range(6):
+        jumps, n = hierarchy._double(jumps, n, all_links, k)
+        assert n <= 12 * all_links
