@@ -34,9 +34,9 @@ def base_versions(graph: Graph) -> DataFrame:
     """(ftype, id, version, is_deleted) of all elements, deleted ones included."""
     out = None
     for ftype, rows in graph.tables.items():
-        part = current_narrow(rows, []).select(F.lit(ftype).alias("ftype"), "id", "version", "is_deleted")
+        part = rows.select(F.lit(ftype).alias("ftype"), "id", "version", "is_deleted")
         out = part if out is None else out.unionByName(part)
-    return out
+    return current_narrow(out, [], KEYS)
 
 
 def effective(graph: Graph, changes: DataFrame, values: tuple[str, ...] = tuple(VALUES)) -> DataFrame:

@@ -13,8 +13,8 @@ def flag(name: str | Column) -> Column:
     return F.coalesce(F.col(name) if isinstance(name, str) else name, F.lit(False))
 
 
-def current_narrow(rows: DataFrame, values: Sequence[str]) -> DataFrame:
-    """The current row of each id, for columns of fixed width: `id`, `version`, `is_deleted`, `values`, one row per id.
+def current_narrow(rows: DataFrame, values: Sequence[str], keys: Sequence[str] = ("id",)) -> DataFrame:
+    """The current row of each id (or `keys`), for columns of fixed width: `id`, `version`, `is_deleted`, `values`, one row per id.
 
     The greatest version wins; a null version counts below all others. Exact copies count once; where different
     rows share the greatest version, one is taken by a hash of its values, the same one for all columns. Rows without
@@ -23,8 +23,8 @@ def current_narrow(rows: DataFrame, values: Sequence[str]) -> DataFrame:
     order = F.shiftleft(F.coalesce(F.col("version"), F.lit(-(2**31))).cast("long"), 32) + (
         F.hash(*values, flag("is_deleted")).cast("long") + F.lit(2**31)
     )
-    picked = rows.where(F.col("id").isNotNull()).select("id", "version", flag("is_deleted").alias("is_deleted"), *values, order.alias("_o"))
-    return picked.groupBy("id").agg(*(F.max_by(c, "_o").alias(c) for c in ("version", "is_deleted", *values)))
+    picked = rows.where(F.col("id").isNotNull()).select(*keys, "version", flag("is_deleted").alias("is_deleted"), *values, order.alias("_o"))
+    return picked.groupBy(*keys).agg(*(F.max_by(c, "_o").alias(c) for c in ("version", "is_deleted", *values)))
 
 
 def current_wide(rows: DataFrame, values: Sequence[str]) -> DataFrame:

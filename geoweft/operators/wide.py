@@ -1,8 +1,8 @@
 """Attribute-value rows into wide tables, log-structured.
 
 A batch of rows becomes a sparse wide delta: one row per entity, one cell per attribute that the batch has, each cell with the
-version that set it. Deltas are written as runs sorted by entity. Compaction merges any runs and keeps, per cell, the latest
-version; as that merge is associative and idempotent, late and redelivered batches need no special case.
+version that set it. Deltas are written as runs in the same hash buckets of the entity, each sorted by it. Compaction reads the runs bucket by bucket, moves
+nothing, and keeps, per cell, the latest version; as that merge is associative and idempotent, late and redelivered batches need no special case.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from geoweft.session import filesystem, read_json, scratch_path, write_json
+from geoweft.buckets import in_bucket_order, read_buckets, write_buckets
+from geoweft.session import list_names, numbered_json, partitions, remove, scratch_path, write_json
 
 #: Most columns that a wide table may have; the specification is read by the driver.
 MOST_COLUMNS = 2000
@@ -84,53 +85,56 @@ def merge_runs(runs: DataFrame, keys: Sequence[str], columns: list[WideColumn])
 
 
 class WideLog:
-    """A wide table as a log of runs in a folder, with a manifest that names the runs in force."""
+    """A wide table as a log of runs in a folder, with a manifest that names the runs in force and their one number of buckets."""
 
-    def __init__(self, spark: SparkSession, keys: Sequence[str], columns: list[WideColumn], path: str | None = None) -> None:
+    def __init__(self, spark: SparkSession, keys: Sequence[str], columns: list[WideColumn], path: str | None = None, buckets: int | None = None) -> None:
         self.spark, self.keys, self.columns = spark, list(keys), columns
         self.path = path or scratch_path(spark, "wide")
+        self.buckets = buckets or partitions(spark)
 
     def _manifest(self) -> dict:
-        fs, where = filesystem(self.spark, self.path)
-        names = [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
-        numbers = [int(n[9:-5]) for n in names if n.startswith("manifest-") and n.endswith(".json")]
-        return read_json(self.spark, f"{self.path}/manifest-{max(numbers)}.json") if numbers else {"number": 0, "runs": [], "schema": None}
+        return numbered_json(self.spark, self.path, "manifest-") or {"number": 0, "runs": [], "schema": None, "buckets": self.buckets}
 
     def _commit(self, was: dict, runs: list[str], schema: StructType) -> None:
-        held = [f for f in schema.jsonValue()["fields"] if f["name"] in {*self.keys, *(c.name for c in self.columns)}]
-        write_json(self.spark, f"{self.path}/manifest-{was['number'] + 1}.json", {"number": was["number"] + 1, "runs": runs, "schema": {"type": "struct", "fields": held}})
+        held = {f["name"]: f for f in schema.jsonValue()["fields"]}
+        fields = [held[c] for c in (*self.keys, *(c.name for c in self.columns))]
+        write_json(self.spark, f"{self.path}/manifest-{was['number'] + 1}.json", {"number": was["number"] + 1, "runs": runs, "schema": {"type": "struct", "fields": fields}, "buckets": was["buckets"]})
 
-    def _write(self, run: DataFrame, split: str | None = None) -> list[str]:
+    def _write(self, run: DataFrame, buckets: int, split: str | None = None) -> list[str]:
         name = f"run-{uuid.uuid4().hex}"
-        # Rebalanced, so that each run has files of a good size however many tasks and batches there are.
-        out = (run.hint("rebalance", split) if split else run.hint("rebalance")).sortWithinPartitions(*self.keys).write
-        (out.partitionBy(split) if split else out).parquet(f"{self.path}/{name}")
-        return [name]
+        write_buckets(run, f"{self.path}/{name}", self.keys, buckets, [split] if split else [])
+        return [f"{name}/{x}" for x in list_names(self.spark, f"{self.path}/{name}") if "=" in x] if split else [name]
 
     def append(self, rows: DataFrame, attribute: str, value: str, version: Sequence[str], batch: str | None = None) -> None:
         """Add rows as one sparse delta; with `batch`, a column of few values, as one run per value, all made in a single pass."""
         delta = sparse_delta(rows, self.keys, attribute, value, version, self.columns, [batch] if batch else [])
         was = self._manifest()
-        self._commit(was, [*was["runs"], *self._write(delta, batch)], delta.schema)
+        self._commit(was, [*was["runs"], *self._write(delta.repartition(was["buckets"], *self.keys), was["buckets"], batch)], delta.schema)
 
     def read(self) -> DataFrame:
         """The merged state: `keys` and a versioned cell per column."""
         manifest = self._manifest()
-        runs = manifest["runs"]
-        if not runs:
+        if manifest["schema"] is None:
             raise ValueError("the log has no runs")
-        schema = StructType.fromJson(manifest["schema"])
-        parts = [self.spark.read.schema(schema).parquet(f"{self.path}/{r}").select(*self.keys, *(c.name for c in self.columns)) for r in runs]
-        whole = parts[0]
-        for p in parts[1:]:
-            whole = whole.unionByName(p)
+        runs = {i: f"{self.path}/{r}" for i, r in enumerate(manifest["runs"])}
+        whole = read_buckets(self.spark, StructType.fromJson(manifest["schema"]), self.keys, manifest["buckets"], runs)
         return merge_runs(whole, self.keys, self.columns)
 
     def compact(self) -> None:
-        """Replace all runs by one; readers of the former manifest keep their files."""
+        """Replace all runs by one; readers of the former manifest keep their files until `vacuum`."""
         was = self._manifest()
         merged = self.read()
-        self._commit(was, self._write(merged), merged.schema)
+        with in_bucket_order(self.spark):
+            runs = self._write(merged, was["buckets"])
+        self._commit(was, runs, merged.schema)
+
+    def vacuum(self) -> None:
+        """Remove the runs and manifests that the one in force does not need."""
+        now = self._manifest()
+        held = {r.split("/")[0] for r in now["runs"]}
+        for x in list_names(self.spark, self.path):
+            if (x.startswith("run-") and x not in held) or (x.startswith("manifest-") and x != f"manifest-{now['number']}.json"):
+                remove(self.spark, f"{self.path}/{x}")
 
 
 def typed_wide(state: DataFrame, keys: Sequence[str], columns: list[WideColumn]) -> DataFrame:

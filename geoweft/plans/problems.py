@@ -28,6 +28,7 @@ def _wide_state(spark: SparkSession, folder: str) -> tuple[DataFrame, list[str],
     rows = table(spark, folder, "tag_rows").withColumn("_year", F.coalesce(F.year(orphans.utc_date(F.unix_micros("ts"))), F.lit(0)))
     log = wide.WideLog(spark, keys, columns)
     log.append(rows, "k", "v", ["rev", "pos"], batch="_year")
+    log.compact()
     return log.read(), keys, columns
 
 
@@ -43,7 +44,7 @@ def p3_wide(spark: SparkSession, folder: str) -> DataFrame:
 
 def _changes_applied(spark: SparkSession, folder: str) -> upsert.BucketedTable:
     base = changeset.base_versions(Graph.load(spark, folder)).withColumn("seq", F.lit(None).cast("long"))
-    store = upsert.BucketedTable.create(base, changeset.KEYS)
+    store = upsert.BucketedTable.create(base, changeset.KEYS, grouped=True)
     store.apply(changeset.latest(table(spark, folder, "changes")), upsert.merge_versions(changeset.KEYS))
     return store
 

@@ -90,15 +90,31 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(where, True)
 
 
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if there is no such folder."""
+    fs, where = filesystem(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
+
+
 def write_json(spark: SparkSession, path: str, value: object) -> None:
-    """Write a small JSON file so that it appears under its name only when complete."""
+    """Write a small JSON file that must not exist yet: of two writers of one name the second fails, on any file system that creates exclusively."""
     fs, where = filesystem(spark, path)
-    part = spark._jvm.org.apache.hadoop.fs.Path(path + ".part")
-    out = fs.create(part, True)
+    if fs.exists(where):
+        raise RuntimeError(f"another writer has committed {path}")
+    out = fs.create(where, False)
     out.write(bytearray(json.dumps(value), "utf-8"))
     out.close()
-    if not fs.rename(part, where):
-        raise RuntimeError(f"another writer has committed {path}")
+
+
+def numbered_json(spark: SparkSession, folder: str, start: str, number: int | None = None) -> dict | None:
+    """The value of `start``number`.json, by default of the greatest number that is complete; None if there is none."""
+    numbers = [number] if number is not None else sorted((int(x[len(start) : -5]) for x in list_names(spark, folder) if x.startswith(start) and x.endswith(".json")), reverse=True)
+    for n in numbers:
+        try:
+            return read_json(spark, f"{folder}/{start}{n}.json")
+        except json.JSONDecodeError:
+            continue  # its writer has not finished, or never will
+    return None
 
 
 def read_json(spark: SparkSession, path: str) -> object:

@@ -6,9 +6,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from geoweft import buckets
 from geoweft.functions.bitmaps import Bitmap
 from geoweft.functions.triangles import Hierarchy, clip_boxes, ear_clip, turn
 from geoweft.operators import hierarchy, nearby, upsert, wide
+from geoweft.session import materialize
 
 from .conftest import rows
 
@@ -135,6 +137,28 @@ def test_batches_in_any_order_leave_one_state(spark):
     assert len(changed) == 1 and sum(before[b] != after[b] for b in before) == 1
 
 
+def test_buckets_split_and_vacuum_and_stay_where_they_are(spark):
+    schema = "id long, version int, is_deleted boolean, seq long, v string"
+    base = [(i, 1, False, None, "x") for i in range(200)] + [(None, 1, False, None, "null key")]
+    change = lambda *ids: upsert.deciding_changes(spark.createDataFrame([(i, 2, False, 1, "y") for i in ids], schema), ["id"], "version", "is_deleted", "seq", ["v"])
+    t = upsert.BucketedTable.create(spark.createDataFrame(base, schema), ["id"], 4)
+    t.apply(change(*range(0, 300, 3)), upsert.merge_versions(["id"], ["v"]))
+    want = rows(t.read())
+    assert len(want) == 201 + 33 and sum(x[4] == "y" for x in want) == 100
+    t.split(4)
+    assert rows(t.read()) == want and t.manifest()["buckets"] == 16
+    t.apply(change(1), upsert.merge_versions(["id"], ["v"]))
+    assert sum(x[4] == "y" for x in rows(t.read())) == 101
+    assert t.vacuum() > 0 and sum(x[4] == "y" for x in rows(t.read())) == 101 and t.vacuum() == 0
+    with buckets.in_bucket_order(spark):
+        deciding = materialize(change(5, 6), "deciding")
+        plan = upsert.merge_versions(["id"], ["v"])(t.read(), deciding)._jdf.queryExecution().executedPlan().toString()
+    base_side = plan[plan.index("SortMergeJoin") :].split("BatchScan")[0]
+    assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1 and "Bucketed: true" in base_side
+    with pytest.raises(Exception):
+        t._commit(t.manifest())
+
+
 def test_long_chain_and_ring(spark):
     chain = [(i, i + 1) for i in range(40)]
     ring = [(100 + i, 100 + (i + 1) % 7) for i in range(7)]
