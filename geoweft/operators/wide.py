@@ -93,12 +93,12 @@ class WideLog:
         self.buckets = buckets or partitions(spark)
 
     def _manifest(self) -> dict:
-        return numbered_json(self.spark, self.path, "manifest-") or {"number": 0, "runs": [], "schema": None, "buckets": self.buckets}
+        return numbered_json(self.spark, self.path, "manifest-") or {"number": 0, "runs": [], "schema": None, "buckets": self.buckets, "compact": False}
 
-    def _commit(self, was: dict, runs: list[str], schema: StructType) -> None:
+    def _commit(self, was: dict, runs: list[str], schema: StructType, compact: bool = False) -> None:
         held = {f["name"]: f for f in schema.jsonValue()["fields"]}
         fields = [held[c] for c in (*self.keys, *(c.name for c in self.columns))]
-        write_json(self.spark, f"{self.path}/manifest-{was['number'] + 1}.json", {"number": was["number"] + 1, "runs": runs, "schema": {"type": "struct", "fields": fields}, "buckets": was["buckets"]})
+        write_json(self.spark, f"{self.path}/manifest-{was['number'] + 1}.json", {"number": was["number"] + 1, "runs": runs, "schema": {"type": "struct", "fields": fields}, "buckets": was["buckets"], "compact": compact})
 
     def _write(self, run: DataFrame, buckets: int, split: str | None = None) -> list[str]:
         name = f"run-{uuid.uuid4().hex}"
@@ -112,13 +112,13 @@ class WideLog:
         self._commit(was, [*was["runs"], *self._write(delta.repartition(was["buckets"], *self.keys), was["buckets"], batch)], delta.schema)
 
     def read(self) -> DataFrame:
-        """The merged state: `keys` and a versioned cell per column."""
+        """The merged state: `keys` and a versioned cell per column. A single compacted run is that as it lies."""
         manifest = self._manifest()
         if manifest["schema"] is None:
             raise ValueError("the log has no runs")
         runs = {i: f"{self.path}/{r}" for i, r in enumerate(manifest["runs"])}
         whole = read_buckets(self.spark, StructType.fromJson(manifest["schema"]), self.keys, manifest["buckets"], runs)
-        return merge_runs(whole, self.keys, self.columns)
+        return whole if manifest["compact"] else merge_runs(whole, self.keys, self.columns)
 
     def compact(self) -> None:
         """Replace all runs by one; readers of the former manifest keep their files until `vacuum`."""
@@ -126,7 +126,7 @@ class WideLog:
         merged = self.read()
         with in_bucket_order(self.spark):
             runs = self._write(merged, was["buckets"])
-        self._commit(was, runs, merged.schema)
+        self._commit(was, runs, merged.schema, compact=True)
 
     def vacuum(self) -> None:
         """Remove the runs and manifests that the one in force does not need."""

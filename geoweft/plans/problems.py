@@ -61,26 +61,22 @@ def p4_state(spark: SparkSession, folder: str) -> DataFrame:
     return state.select("ftype", "id", "version", F.when(F.col("is_deleted"), "deleted").otherwise("live").alias("outcome"), "seq")
 
 
-def _parents(rows: DataFrame, ref_type: str) -> DataFrame:
+def _parents(tables: dict[str, DataFrame]) -> DataFrame:
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     order = F.coalesce(F.col("version"), F.lit(-(2**31)))
     # On a tie of versions a row that is not deleted wins; the greatest order is odd for it.
     best = F.max(order.cast("long") * 2 + F.when(flag("is_deleted"), 0).otherwise(1))
-    return (
-        rows.where("id is not null")
-        .groupBy(F.col("id").alias("ref_id"))
-        .agg((F.pmod(best, F.lit(2)) == 0).alias("is_deleted"), F.min(us).alias("first_us"))
-        .select(F.lit(ref_type).alias("ref_type"), "ref_id", "is_deleted", "first_us", F.coalesce(orphans.month_number(F.col("first_us")), F.lit(orphans.UNKNOWN)).alias("first_period"))
-    )
+    every = None
+    for ftype, rows in tables.items():
+        part = rows.where("id is not null").select(F.lit(ftype).alias("ref_type"), F.col("id").alias("ref_id"), "version", "is_deleted", "ts")
+        every = part if every is None else every.unionByName(part)
+    found = every.groupBy("ref_type", "ref_id").agg((F.pmod(best, F.lit(2)) == 0).alias("is_deleted"), F.min(us).alias("first_us"))
+    return found.select("ref_type", "ref_id", "is_deleted", "first_us", F.coalesce(orphans.month_number(F.col("first_us")), F.lit(orphans.UNKNOWN)).alias("first_period"))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """References of current ways and relations to elements that are missing, deleted or written later."""
     tables = {ftype: table(spark, folder, name) for ftype, name in (("node", "nodes"), ("way", "ways"), ("relation", "relations"))}
-    parents = None
-    for ftype, rows in tables.items():
-        part = _parents(rows, ftype)
-        parents = part if parents is None else parents.unionByName(part)
     ways = current_wide(tables["way"], ["ts", "node_ids"]).where("not is_deleted")
     relations = current_wide(tables["relation"], ["ts", "members"]).where("not is_deleted")
     wide_refs = ways.select(F.lit("ways").alias("tbl"), F.col("id").alias("src_id"), "ts", F.lit("node").alias("ref_type"), F.explode(F.array_distinct("node_ids")).alias("ref_id"))
@@ -89,7 +85,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     refs = wide_refs.unionByName(member_refs).select("tbl", "src_id", "ref_type", "ref_id", us.alias("ref_us"), F.coalesce(orphans.month_number(us), F.lit(orphans.UNKNOWN)).alias("period"))
     month = F.coalesce(F.date_format(orphans.utc_date(F.col("ref_us")), "yyyy-MM"), F.lit("unknown"))
-    return orphans.orphan_references(refs, parents).select("tbl", month.alias("ref_month"), "src_id", "ref_type", "ref_id", "reason")
+    return orphans.orphan_references(refs, _parents(tables)).select("tbl", month.alias("ref_month"), "src_id", "ref_type", "ref_id", "reason")
 
 
 def _relation_links(spark: SparkSession, folder: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from geoweft import buckets
 from geoweft.functions.bitmaps import Bitmap
 from geoweft.functions.triangles import Hierarchy, clip_boxes, ear_clip, turn
-from geoweft.operators import hierarchy, nearby, upsert, wide
+from geoweft.operators import hierarchy, nearby, orphans, upsert, wide
 from geoweft.session import materialize
 
 from .conftest import rows
@@ -92,6 +92,27 @@ def test_bitmaps(n, m):
     assert (A.at is None) == (len(sa) > 4096)
 
 
+@pytest.mark.parametrize("few, share", [(orphans.FEW, orphans.HOT_SHARE), (0, 4)])
+def test_orphans_with_keys_of_text_and_a_hot_target(spark, monkeypatch, few, share):
+    """Any kind of key is numbered; one missing target has a third of all references; both ways of decoding give the same rows."""
+    monkeypatch.setattr(orphans, "FEW", few), monkeypatch.setattr(orphans, "HOT_SHARE", share)
+    r = random.Random(11)
+    parents = {f"k{i:05d}é": (r.random() < 0.2, r.choice([None, r.randrange(10**6)])) for i in range(0, 3000, 2)}
+    refs = [(s, "gone" if s % 3 == 0 else f"k{r.randrange(3000):05d}é", r.choice([None, r.randrange(10**6)])) for s in range(3000)] + [(9, None, 1)]
+    period = lambda us: orphans.UNKNOWN if us is None else us // 10**5
+    p = spark.createDataFrame([("t", k, d, us, period(us)) for k, (d, us) in parents.items()], "ref_type string, ref_id string, is_deleted boolean, first_us long, first_period int")
+    q = spark.createDataFrame([(s, "t", k, us, period(us)) for s, k, us in refs], "src long, ref_type string, ref_id string, ref_us long, period int")
+
+    def reason(k, us):
+        if k not in parents:
+            return "missing"
+        gone, first = parents[k]
+        return "deleted" if gone else "late" if first is not None and us is not None and first > us else None
+
+    want = sorted(((s, k, x) for s, k, us in refs if k is not None and (x := reason(k, us))), key=str)
+    assert rows(orphans.orphan_references(q, p).select("src", "ref_id", "reason")) == want
+
+
 def test_wide_log_compacts(spark):
     cols = [wide.WideColumn("a", "a", "integer"), wide.WideColumn("b", "b", "text")]
     r = random.Random(2)
