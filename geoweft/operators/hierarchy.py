@@ -91,7 +91,8 @@ def _trim(links: DataFrame, n: int) -> tuple[DataFrame, int]:
             break
         links, n = kept, m
         if n and k:
-            jumps, k = _double(_within(jumps, keep), k, all_links, number)
+            # A node dropped here has no jump on, or none to it, so doubling drops its jumps by itself.
+            jumps, k = _double(jumps, k, all_links, number)
             number += 1
     return links, n
 

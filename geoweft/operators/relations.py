@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from geoweft.functions import tags as T
 from geoweft.model import Graph
 from geoweft.operators import assemble, hierarchy
-from geoweft.session import materialize
+from geoweft.session import materialize, materialize_counted
 
 #: Levels beyond this are left out.
 MOST_LEVEL = 9
@@ -62,16 +62,18 @@ def levels(graph: Graph, links: DataFrame | None = None) -> DataFrame:
     """Every relation with `level`: 0 without relation members, else one more than its highest member; `omitted` beyond MOST_LEVEL.
 
     Links of cycles are broken first, unless `links` are those left. Round k keeps the relations that have a way down of k links, so there are as many rounds
-    as levels that count, whatever the depth.
+    as levels.
     """
     links = links if links is not None else break_cycles(graph)[0]
     reach = links.select(F.col("src").alias("id")).distinct()
     parts = [graph.ids("relation").select("id", F.lit(0).alias("level"))]
-    for level in range(1, MOST_LEVEL + 2):
-        reach = materialize(reach, "level")
-        parts.append(reach.select("id", F.lit(level).alias("level")))
-        if not reach.limit(1).count():
+    level = 1
+    while True:
+        reach, n = materialize_counted(reach, "level")
+        if not n:
             break
+        parts.append(reach.select("id", F.lit(level).alias("level")))
+        level += 1
         reach = links.join(reach.withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("src").alias("id")).distinct()
     whole = parts[0]
     for p in parts[1:]:

@@ -178,7 +178,7 @@ def test_cycles_and_bounds(graph):
 def test_deep_chain_is_omitted(folder, spark):
     g = Graph.load(spark, folder(nodes=[n(1, 0, 0)], relations=[r(i, [("r", i + 1, ""), ("n", 1, "")]) for i in range(1, 13)]))
     got = {x.id: (x.level, x.omitted) for x in relations.levels(g).collect()}
-    assert got[12] == (0, False) and got[3] == (9, False) and got[2] == (10, True) and got[1][1]
+    assert got[12] == (0, False) and got[3] == (9, False) and got[2] == (10, True) and got[1] == (11, True)
 
 
 def test_tiles(graph, spark):
