@@ -11,13 +11,12 @@ from geoweft.operators import hierarchy
 from geoweft.session import materialize, table
 
 
-def _term_counts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    rows = table(spark, folder, "tag_rows")
+def _term_counts(spark: SparkSession, folder: str) -> tuple[DataFrame, int]:
+    rows, record = table(spark, folder, "tag_rows"), ["ftype", "id"]
     clean = lambda c: F.lower(F.trim(c))
     terms = {"key": F.array(clean(F.col("k"))), "value": F.transform(F.split("v", ";"), clean)}
-    counts = frequency.term_counts(rows, ["ftype", "id"], ["pos"], terms)
-    elements = rows.where("k is not null or v is not null").select("ftype", "id").distinct().agg(F.count("*").alias("n"))
-    return counts, elements
+    elements, hot = frequency.record_stats(rows, record, F.col("k").isNotNull() | F.col("v").isNotNull())
+    return frequency.term_counts(rows, record, ["pos"], terms, hot), elements
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from geoweft.llm import canonical, mixing, packing, queries
+from geoweft.llm import canonical, frequency, mixing, packing, queries
 from geoweft.llm.tokens import LONG_BLANK, VOCABULARIES, VOCABULARY, encoding, token_count
 
 from ..conftest import rows
@@ -44,6 +44,16 @@ def test_p1_brute_force(folder, spark):
     assert rows(queries.p1_found(spark, d)) == sorted(((*k, mark(k)) for k in uses if mark(k)), key=str)
 
 
+def test_hot_records_count_the_same(folder, spark, monkeypatch):
+    r = random.Random(12)
+    tag_rows = [{"ftype": r.choice(["node", None]), "id": 1 if p % 3 == 0 else r.choice([*range(9), None]), "pos": p, "k": r.choice(["a", "B ", None]), "v": r.choice(["x;y", "z", None, "x;x"]), "rev": 1} for p in range(400)]
+    d = folder(CLASH, tag_rows=tag_rows + tag_rows[::5])
+    want = rows(queries.p1_counts(spark, d))
+    monkeypatch.setattr(frequency, "HOT_ROWS", 20)
+    assert frequency.record_stats(spark.read.parquet(f"{d}/tag_rows.parquet"), ["ftype", "id"], F.lit(True))[1]
+    assert rows(queries.p1_counts(spark, d)) == want and sum(x[2] for x in want) > 400
+
+
 SAME = [
     ("ﬁne ﬂow oﬀer", "fine flow offer"), ("ｆｕｌｌ　ｗｉｄｔｈ１２！", "full width12!"), ("café über", "café über"), ("a​b‌c‍d⁠e﻿f­g", "abcdefg"), ("x y z w v", "x y z w v"),
     ("раss СОRЕ іѕ јоу", "pass CORE is joy"), ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ ο", "ABEZHIKMNOPTYX o"), ("K Å Ω", "K Å Ω"), ("ё й", "ё й"), ("é", "e​́"), ("ﾊﾞﾃﾞ", "バデ"), ("각", "각"), ("a\r\nb", "a\nb"), ("ĳ ǆ", "ij dž"),
