@@ -1,9 +1,9 @@
 """One consistent form for text that looks the same.
 
-A transducer is compiled from fixed tables and from the character database: its longest matches are grapheme clusters (a
-character with all marks and unseen characters that follow it), each of which is mapped once and remembered. Plain characters
-pass in stretches. Clusters are decomposed, unseen characters dropped, widths and joined letters
-resolved, look-alikes mapped, and what is left composed, in one pass over the text.
+A mapping is compiled from the character database and from lists of look-alikes: every character, composed letter, and letter with one mark
+that has another form than itself, with that form. It is closed (forms are forms of themselves), checked for conflicts, and turned into an
+automaton that finds its longest matches from left to right. Plain stretches pass; a stretch beyond ASCII is matched once, its output composed,
+and remembered. Nothing is mapped that the table does not hold.
 """
 
 from __future__ import annotations
@@ -19,11 +19,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Letters of other scripts and the Latin letters of the same shape.
-CYRILLIC = "А В Е К М Н О Р С Т У Х Ѕ І Ј Ԛ Ԝ Ү Ӏ а е о р с у х ѕ і ј ԁ ԛ ԝ һ ӏ ѵ"
-CYRILLIC_AS = "A B E K M H O P C T Y X S I J Q W Y I a e o p c y x s i j d q w h l v"
+# Letters of several scripts, and the Latin (or, without one, the Greek) letters of the same shape.
+CYRILLIC = "А В Е К М Н О Р С Т У Х Ѕ І Ј Ԛ Ԝ Ү Ӏ Г П Ф а е о р с у х ѕ і ј ԁ ԛ ԝ һ ӏ ѵ"
+CYRILLIC_AS = "A B E K M H O P C T Y X S I J Q W Y I Γ Π Φ a e o p c y x s i j d q w h l v"
 GREEK = "Α Β Ε Ζ Η Ι Κ Μ Ν Ο Ρ Τ Υ Χ Ϲ Ϳ ο ν ϲ ϳ"
 GREEK_AS = "A B E Z H I K M N O P T Y X C J o v c j"
+ARMENIAN = "Լ Ս Օ զ հ յ ո ս ց օ"
+ARMENIAN_AS = "L U O q h j n u g o"
+COPTIC = "Ⲅ Ⲏ Ⲓ Ⲕ Ⲙ Ⲛ Ⲟ Ⲡ Ⲣ Ⲥ Ⲧ Ⲩ Ⲭ ⲟ ⲣ ⲥ"
+COPTIC_AS = "Γ H I K M N O Π P C T Y X o p c"
+CHEROKEE = "Ꭰ Ꭱ Ꭲ Ꭵ Ꭺ Ꭻ Ꭼ Ꮃ Ꮇ Ꮋ Ꮐ Ꮓ Ꮩ Ꮪ Ꮮ Ꮯ Ꮲ Ꮶ Ᏼ"
+CHEROKEE_AS = "D R T i A J E W M H G Z V S L C P K B"
+LISU = "ꓐ ꓑ ꓓ ꓔ ꓖ ꓗ ꓙ ꓚ ꓜ ꓝ ꓟ ꓠ ꓡ ꓢ ꓣ ꓦ ꓧ ꓪ ꓫ ꓬ ꓮ ꓰ ꓲ ꓳ ꓴ"
+LISU_AS = "B P D T G K J C Z F M N L S R V H W X Y A E I O U"
+SCRIPTS = ((CYRILLIC, CYRILLIC_AS), (GREEK, GREEK_AS), (ARMENIAN, ARMENIAN_AS), (COPTIC, COPTIC_AS), (CHEROKEE, CHEROKEE_AS), (LISU, LISU_AS))
 # Invisible characters that are neither format nor control characters (joiners, fillers, variation selectors).
 UNSEEN_RANGES = [(0x034F, 0x034F), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x2065, 0x2065), (0xFE00, 0xFE0F), (0xE0100, 0xE01EF)]
 # Format characters that do show, or that turn the order of what follows.
@@ -37,9 +46,9 @@ BEYOND = re.compile(r"([^\x00-\x7f]+)")
 
 
 def look_alikes() -> dict[str, str]:
-    """Letters to the Latin letter of the same shape, checked: no letter maps two ways, no target is itself mapped."""
+    """Letters to the letter of the same shape, checked: no letter maps two ways, no target is itself mapped."""
     out: dict[str, str] = {}
-    for many, targets in ((CYRILLIC, CYRILLIC_AS), (GREEK, GREEK_AS)):
+    for many, targets in SCRIPTS:
         for a, b in zip(many.split(), targets.split(), strict=True):
             if a != b and out.setdefault(a, b) != b:
                 raise ValueError(f"{a!r} maps both to {out[a]!r} and {b!r}")
@@ -73,34 +82,81 @@ def folded(ch: str) -> str:
     return ch
 
 
+def formed(text: str, alike: dict[str, str]) -> str:
+    """The form of one character or cluster, by its definition: unseen characters dropped, decomposed, freed of width, look-alikes mapped, composed."""
+    text = "".join(ch for ch in text if not unseen(ch))
+    text = "".join(map(folded, unicodedata.normalize("NFD", text)))
+    return unicodedata.normalize("NFC", "".join(alike.get(ch, ch) for ch in unicodedata.normalize("NFD", text)))
+
+
+def compiled_mapping() -> tuple[dict[str, str], list[int]]:
+    """All single characters beyond ASCII, and all letters with a mark, that have another form than themselves; and the characters that follow in a cluster.
+
+    Checked: forms are forms of themselves, and a letter with a mark has the form that its parts' forms compose to, so that no two matches contradict
+    each other whichever of them is the longest.
+    """
+    alike, out, follow = look_alikes(), {"\r\n": "\n", "\r": "\n"}, []
+    composed: list[str] = []
+    twins: dict[str, list[str]] = {}
+    for c in range(0x80, sys.maxunicode + 1):
+        ch = chr(c)
+        kind = unicodedata.category(ch)
+        if kind in ("Cn", "Co", "Cs") and not unseen(ch) or 0xAC00 <= c < 0xD7A4:
+            continue
+        hidden = unseen(ch)
+        # Half-width voicing marks are letters by their category, and marks once their width is gone.
+        if kind in ("Mn", "Mc", "Me") or hidden or c in (0xFF9E, 0xFF9F):
+            follow.append(c)
+        parts = unicodedata.decomposition(ch)
+        if not (parts or hidden or kind == "Zs" or ch in alike):
+            continue
+        form = formed(ch, alike)
+        if form != ch:
+            out[ch] = form
+            if len(form) == 1:
+                twins.setdefault(form, []).append(ch)
+        if parts and not parts.startswith("<"):
+            composed.append(ch)
+    for ch in composed:
+        base, *marks = unicodedata.normalize("NFD", ch)
+        for b in (base, *twins.get(base, ())):
+            key = "".join((b, *marks))
+            out[key] = formed(key, alike)
+    for key, form in out.items():
+        if formed(form, alike) != form and form != "\n":
+            raise ValueError(f"the form of {key!r} has another form")
+        if key[0] != "\r" and unicodedata.normalize("NFC", "".join(out.get(ch, ch) for ch in key)) != form:
+            raise ValueError(f"{key!r} and its parts have different forms")
+    return out, follow
+
+
 class Transducer:
-    """Compiled mapping; call it with a text."""
+    """The compiled mapping; call it with a text."""
+
+    #: Stretches beyond ASCII that are remembered, and their greatest length: for speed only.
+    REMEMBERED, LONGEST = 200_000, 24
 
     def __init__(self) -> None:
-        self.alike = look_alikes()
-        tail = []
-        for c in range(0x80, sys.maxunicode + 1):
-            ch = chr(c)
-            # Half-width voicing marks are letters by their category, and marks once their width is gone.
-            if not 0xD800 <= c < 0xE000 and (unicodedata.category(ch) in ("Mn", "Mc", "Me") or unseen(ch) or c in (0xFF9E, 0xFF9F)):
-                tail.append(c)
-        self.follows = re.compile(f"[{_class(tail)}]")
-        self.clusters = re.compile(f"(?s:.)[{_class(tail)}]*")
+        import ahocorasick
+
+        self.table, follow = compiled_mapping()
+        self.follows = re.compile(f"[{_class(follow)}]")
+        self.automaton = ahocorasick.Automaton()
+        for key, form in self.table.items():
+            self.automaton.add_word(key, (len(key), form))
+        self.automaton.make_automaton()
         self.known: dict[str, str] = {}
 
-    def _cluster(self, text: str) -> str:
-        text = "".join(ch for ch in text if not unseen(ch))
-        text = "".join(map(folded, unicodedata.normalize("NFD", text)))
-        text = "".join(self.alike.get(ch, ch) for ch in unicodedata.normalize("NFD", text))
-        return unicodedata.normalize("NFC", text)
-
     def _run(self, run: str) -> str:
-        """A stretch of characters beyond ASCII, with the one before it where it belongs to the first cluster."""
+        """A stretch of characters beyond ASCII, with the one before it where marks follow that: longest matches from the left, composed."""
         out = self.known.get(run)
         if out is None:
-            # Composed once more as a whole: a letter freed of its width may compose with the next (jamo).
-            out = unicodedata.normalize("NFC", "".join(map(self._cluster, self.clusters.findall(run))))
-            if len(self.known) < 200_000 and len(run) <= 24:
+            parts, at = [], 0
+            for end, (n, form) in self.automaton.iter_long(run):
+                parts += (run[at : end + 1 - n], form)
+                at = end + 1
+            out = unicodedata.normalize("NFC", "".join(parts) + run[at:])
+            if len(self.known) < self.REMEMBERED and len(run) <= self.LONGEST:
                 self.known[run] = out
         return out
 

@@ -79,6 +79,35 @@ def test_canonical_forms():
     assert t(long) == "naïve field " * 100_000
 
 
+def test_every_entry_of_the_mapping_is_found_everywhere():
+    """Recall over generated variants of each entry: alone, within words, beside marks, hidden characters and other entries."""
+    t, r = canonical.transducer(), random.Random(5)
+    alike = canonical.look_alikes()
+    entries = sorted(t.table.items())
+    assert len(entries) > 5000
+    found = tried = 0
+    for key, form in entries:
+        other, other_form = r.choice(entries)
+        for spelled, plain in ((key, form), (f"ab{key}cd", f"ab{form}cd"), (f"{key}\u200b\u0301z", f"{form}\u0301z"), (f"x{key} {other}{key}", f"x{form} {other_form}{form}"), (unicodedata.normalize("NFD", key) + "n", form + "n")):
+            tried += 1
+            found += t(spelled) == t(plain)
+    assert found >= 0.99 * tried, (found, tried)
+    for pair in ("ПΠ", "ГΓ", "ФΦ", "օo", "ոn", "ᎪA", "ᏃZ", "ᎳW", "ⲞO", "ꓐB"):
+        assert t(pair[0]) == t(pair[1]) and t(f"q{pair[0]}\u0301") == t(f"q{pair[1]}\u0301")
+    for _ in range(3000):
+        cluster = r.choice("aeЕоᎪﾊｅ") + "".join(r.choice("\u0301\u0323\u200b\u0302\uff9e") for _ in range(r.randint(0, 4)))
+        assert t(cluster) == canonical.formed(cluster, alike)
+
+
+def test_conflicts_are_refused(monkeypatch):
+    monkeypatch.setattr(canonical, "SCRIPTS", (("а", "a"), ("а", "o")))
+    with pytest.raises(ValueError):
+        canonical.look_alikes()
+    monkeypatch.setattr(canonical, "SCRIPTS", (("а", "ο"), ("ο", "o")))
+    with pytest.raises(ValueError):
+        canonical.look_alikes()
+
+
 def test_p9_pairs(folder, spark):
     r = random.Random(9)
     texts = ["fine", "ﬁne", "fi​ne", None, "", "​", "Fine", "finé", "finé", "ｆine"]
