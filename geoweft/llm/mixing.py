@@ -1,25 +1,25 @@
 """Sources mixed to target weights by Poisson replication.
 
 Each document has a uniform number from a hash of its key. Inverting the Poisson distribution of a source's rate at that number
-gives the document's count, which grows with the rate: copy k appears at the rate where P(X >= k) exceeds one minus the number. So
-the rate at which the drawn tokens of a source meet its target is found exactly, as a weighted quantile of those rates, in
-passes over a histogram; the cap on repeats ends the list of a document's copies.
+gives the document's count, which grows with the rate: copy k appears at the rate where P(X < k) falls to the number. So the tokens that
+a rate draws follow from a histogram of tokens over the numbers, and the rate at which they meet the source's target is found on it; the few cells in which
+the answer lies are cut finer in further passes. The cap on repeats ends the list of a document's copies.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geoweft.session import partitions
+
 #: Most sources that may have a target, and most repeats: both are read by the driver or unrolled in a plan.
 MOST_SOURCES, MOST_REPEATS = 1_000, 64
-#: Cells of a histogram pass and passes: rates are found to one part in CELLS ** PASSES.
-CELLS, PASSES = 1_024, 3
+#: Bits by which the passes of the histogram cut the numbers (of 53 bits), all cells in the first, few of them later.
+CUTS = (10, 6, 6, 6)
 TOP_RATE = 512.0
 
 
@@ -28,19 +28,14 @@ def source_name(column: Column) -> Column:
     return F.lower(F.trim(column))
 
 
-def uniform(key: Column, seed: int) -> Column:
-    """A number in [0, 1) from a hash of the key."""
-    return F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 11) / F.lit(float(2**53))
+def bits(key: Column, seed: int) -> Column:
+    """53 bits from a hash of the key."""
+    return F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 11)
 
 
-def poisson_tail_rates(u: np.ndarray, k: int) -> np.ndarray:
-    """The rate at which a Poisson count with the uniform number `u` reaches `k`: where P(X < k) falls to u. By bisection."""
-    low, high = np.zeros(len(u)), np.full(len(u), TOP_RATE)
-    for _ in range(60):
-        mid = (low + high) / 2
-        more = below(k, mid) > u
-        low, high = np.where(more, mid, low), np.where(more, high, mid)
-    return high
+def uniform(key: Column, seed: int) -> Column:
+    """A number in [0, 1) from a hash of the key."""
+    return bits(key, seed) / F.lit(float(2**53))
 
 
 def below(k: int, rate: np.ndarray | float) -> np.ndarray | float:
@@ -52,19 +47,6 @@ def below(k: int, rate: np.ndarray | float) -> np.ndarray | float:
     return total
 
 
-def copy_rates(sizes: DataFrame, caps: dict[str, int], seed: int) -> DataFrame:
-    """`source`, `copy`, `n_tokens`, `rate`: the rate of its source at which each possible copy of a document appears."""
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            cap = b["source"].map(caps).to_numpy(int)
-            for k in range(1, cap.max(initial=0) + 1):
-                at = b[cap >= k]
-                yield pd.DataFrame({"source": at["source"], "copy": k, "n_tokens": at["n_tokens"], "rate": poisson_tail_rates(at["u"].to_numpy(float), k)})
-
-    return sizes.select("source", "n_tokens", uniform(F.col("doc_id"), seed).alias("u")).mapInPandas(rows, "source string, copy int, n_tokens long, rate double")
-
-
 def plan_mix(sizes: DataFrame, targets: DataFrame, seed: int = 1) -> list[dict]:
     """Per target source: share aimed at, tokens there are, tokens to draw, the Poisson rate and the cap. `sizes`: doc_id, source, n_tokens.
 
@@ -72,8 +54,6 @@ def plan_mix(sizes: DataFrame, targets: DataFrame, seed: int = 1) -> list[dict]:
     sources without tokens cannot be held: the others share all, in proportion. The mix is as large as the caps allow with every
     share held; the source that ends it has all its copies drawn.
     """
-    from geoweft.session import materialize
-
     rows = targets.where("source is not null and target_share > 0 and max_repeats > 0").select(source_name(F.col("source")).alias("source"), "target_share", "max_repeats").distinct().limit(MOST_SOURCES + 1).collect()
     if len(rows) > MOST_SOURCES or len({r["source"] for r in rows}) < len(rows) or any(r["max_repeats"] > MOST_REPEATS for r in rows):
         raise ValueError(f"targets need one row per source, at most {MOST_SOURCES}, with at most {MOST_REPEATS} repeats")
@@ -86,39 +66,71 @@ def plan_mix(sizes: DataFrame, targets: DataFrame, seed: int = 1) -> list[dict]:
     whole = sum(share[s] for s in live)
     total = min((caps[s] * there[s] * whole / share[s] for s in live), default=0.0)
     goal = {s: total * share[s] / whole for s in live}
-    rate = _rates(materialize(copy_rates(known, caps, seed), "copies"), goal, {s: caps[s] * there[s] for s in live}) if live else {}
+    rate = _rates(known.where(F.col("n_tokens") > 0).select("source", "n_tokens", bits(F.col("doc_id"), seed).alias("u")), goal, {s: caps[s] for s in live}, there)
     return [
         {"source": s, "target_share": share[s], "aim_share": share[s] / whole if s in goal else 0.0, "max_repeats": caps[s], "tokens_there": there.get(s, 0), "tokens_aimed": goal.get(s, 0.0), "rate": rate.get(s, 0.0)}
         for s in sorted(caps)
     ]
 
 
-def _rates(copies: DataFrame, goal: dict[str, float], most: dict[str, int]) -> dict[str, float]:
-    """The rate per source at which the copies that appeared come closest to its goal from below, to the last histogram cell."""
-    at = {s: (0.0, 0.0, TOP_RATE) for s in goal}  # tokens below the window, and the window
-    done = {s: math.inf for s in goal if goal[s] >= most[s] * (1 - 1e-12)}
-    for _ in range(PASSES):
-        todo = [s for s in goal if s not in done]
-        if not todo:
+class _Drawn:
+    """What a rate draws of one source, from cells of its documents' numbers: (first number, last number, tokens), in any order."""
+
+    def __init__(self, cells: list[tuple[int, int, int]], cap: int) -> None:
+        held = np.array(sorted(cells), dtype=np.int64).reshape(-1, 3)
+        self.low, self.high, self.cap = held[:, 0], held[:, 1], cap
+        # Tokens of a cell and of all after it.
+        self.after = np.concatenate([np.cumsum(held[::-1, 2])[::-1], [0]])
+
+    def marks(self, rate: float) -> np.ndarray:
+        """The numbers from which on documents have 1, 2, ... copies."""
+        return np.array([float(below(k, rate)) for k in range(1, self.cap + 1)]) * 2.0**53
+
+    def most(self, rate: float) -> int:
+        """Tokens drawn, cells that a mark cuts in full."""
+        return int(self.after[np.searchsorted(self.high, self.marks(rate))].sum())
+
+    def least(self, rate: float) -> int:
+        """Tokens drawn, cells that a mark cuts not at all."""
+        return int(self.after[np.searchsorted(self.low, self.marks(rate))].sum())
+
+
+def _greatest_rate(tokens, goal: float) -> float:
+    """The greatest rate of which `tokens`, which grows with it, is at most `goal`."""
+    low, high = 0.0, TOP_RATE
+    for _ in range(80):
+        mid = (low + high) / 2
+        low, high = (mid, high) if tokens(mid) <= goal else (low, mid)
+    return low
+
+
+def _rates(numbers: DataFrame, goal: dict[str, float], caps: dict[str, int], there: dict[str, int]) -> dict[str, float]:
+    """The rate per source of which the tokens drawn come closest to its goal from below, to the last cell; infinite where all copies are drawn. `numbers`: source, u, n_tokens.
+
+    A pass has at most as many rows as cells that it cuts, times two to its bits, and cuts only cells in which the answer may lie: about one per copy.
+    """
+    rate = {s: math.inf for s in goal if goal[s] >= caps[s] * there[s] * (1 - 1e-12)}
+    todo = [s for s in goal if s not in rate]
+    cells: dict[str, list[tuple[int, int, int]]] = {s: [(0, 2**53 - 1, there[s])] for s in todo}
+    cut = [(s, 0) for s in todo]
+    narrow = 53
+    for step in CUTS:
+        if not cut:
             break
-        low = F.create_map(*(F.lit(x) for s in todo for x in (s, at[s][1])))[F.col("source")]
-        width = F.create_map(*(F.lit(x) for s in todo for x in (s, (at[s][2] - at[s][1]) / CELLS)))[F.col("source")]
-        cell = F.floor((F.col("rate") - low) / width).cast("int")
-        # At most CELLS rows per source.
-        cells: dict = {}
-        for s, c, n in copies.where(F.col("source").isin(todo)).select("source", cell.alias("cell"), "n_tokens").where(f"cell >= 0 and cell < {CELLS}").groupBy("source", "cell").agg(F.sum("n_tokens")).collect():
-            cells.setdefault(s, []).append((c, n))
-        for s in todo:
-            got, lo, hi = at[s]
-            w = (hi - lo) / CELLS
-            cut = CELLS
-            for c, n in sorted(cells.get(s, [])):
-                if got + n > goal[s]:
-                    cut = c
-                    break
-                got += n
-            at[s] = (got, lo + cut * w, min(hi, lo + (cut + 1) * w))
-    return {s: done.get(s, at[s][1]) for s in goal}
+        wide, narrow = narrow, narrow - step
+        wanted = F.broadcast(numbers.sparkSession.createDataFrame(cut, "source string, _c long"))
+        part = numbers.withColumn("_c", F.call_function("shiftright", F.col("u"), F.lit(wide))).join(wanted, ["source", "_c"])
+        finer: dict[str, list[tuple[int, int, int]]] = {}
+        for s, c, n in part.groupBy("source", F.call_function("shiftright", F.col("u"), F.lit(narrow)).alias("c")).agg(F.sum("n_tokens")).collect():
+            finer.setdefault(s, []).append((c << narrow, ((c + 1) << narrow) - 1, n))
+        gone = set(cut)
+        cut = []
+        for s, found in finer.items():
+            cells[s] = [x for x in cells[s] if not (x[1] - x[0] + 1 == 1 << wide and (s, x[0] >> wide) in gone)] + found
+            drawn = _Drawn(cells[s], caps[s])
+            low, high = drawn.marks(_greatest_rate(drawn.least, goal[s])), drawn.marks(_greatest_rate(drawn.most, goal[s]))
+            cut += [(s, x[0] >> narrow) for x in found if any(a <= x[1] and b >= x[0] for a, b in zip(low, high))]
+    return rate | {s: _greatest_rate(_Drawn(cells[s], caps[s]).most, goal[s]) for s in todo}
 
 
 def repeats(plan: list[dict], seed: int = 1) -> Column:
@@ -137,9 +149,12 @@ def repeats(plan: list[dict], seed: int = 1) -> Column:
 def draw(documents: DataFrame, plan: list[dict], seed: int = 1) -> DataFrame:
     """`documents` (doc_id, source in the compared form, any others), each as often as planned, in a global random order, with `copy`.
 
-    The order is that of a hash of key and copy: partitions by its range, sorted within. No document is looked up again: the count
-    follows from the key and the plan, so texts move only once, in that shuffle.
+    The order is that of a hash of key and copy: as its values are even over their range, the partition follows from the value, without a look at the
+    data, and rows are sorted within. No document is looked up again: the count follows from the key and the plan, so texts are read
+    once here and move once.
     """
+    n = partitions(documents.sparkSession)
     drawn = documents.withColumn("copy", F.explode(F.sequence(F.lit(1), F.nullif(repeats(plan, seed), F.lit(0)))))
-    place = F.xxhash64("doc_id", "copy", F.lit(seed + 1))
-    return drawn.withColumn("place", place).repartitionByRange("place").sortWithinPartitions("place")
+    placed = drawn.withColumn("place", F.xxhash64("doc_id", "copy", F.lit(seed + 1)))
+    slot = F.call_function("shiftright", (F.call_function("shiftright", F.col("place"), F.lit(32)) + 2**31) * n, F.lit(32)).cast("int")
+    return placed.repartitionById(n, slot).sortWithinPartitions("place")

@@ -47,21 +47,36 @@ def _clusters(sizes: DataFrame) -> DataFrame:
     return named.withColumn("cluster", F.coalesce("label", "id")).drop("id", "label", "_s", "paper", "digest")
 
 
-def p7_packed(spark: SparkSession, folder: str) -> DataFrame:
-    """Every text, or its pieces where it exceeds a capacity, in a container of every kind. Copies and revisions of a paper stay apart, as do equal texts."""
+def _items(spark: SparkSession, folder: str) -> DataFrame:
     digest = F.when(F.col("text") != "", F.md5("text")).alias("digest")
     sizes = _sizes(spark, folder, mixing.source_name(F.col("source")).alias("source"), F.nullif(F.trim("paper_key"), F.lit("")).alias("paper"), digest)
-    return packing.pack(materialize(_clusters(sizes), "clusters"), table(spark, folder, "containers"))
+    return materialize(_clusters(sizes), "clusters")
+
+
+def p7_packed(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text, or its pieces where it exceeds a capacity, in a container of every kind. Copies and revisions of a paper stay apart, as do equal texts."""
+    return packing.pack(_items(spark, folder), table(spark, folder, "containers"))
 
 
 def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
-    """Per container kind: containers, tokens, and the share of the room that is used."""
-    placed = p7_packed(spark, folder)
-    return placed.groupBy("container_kind").agg(
-        F.sum(F.when(F.col("slot") == 0, 1).otherwise(0)).alias("containers"),
-        F.sum("n_tokens").alias("tokens"),
-        (F.sum("n_tokens") / F.sum(F.when(F.col("slot") == 0, F.col("capacity_tokens")))).alias("filled"),
-    )
+    """Per container kind: containers, tokens, the share of the room that is used, and how many containers any packing needs."""
+    return packing.fill_report(p7_packed(spark, folder))
+
+
+def p7_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Per container kind, over the whole packing: texts placed, texts of which a token is missing or there twice, containers that hold more than they can
+    or other than they say, and containers with two pieces of one paper or of equal texts."""
+    placed = materialize(p7_packed(spark, folder), "placed")
+    kinds = ["container_kind", "capacity_tokens"]
+    texts = placed.groupBy(*kinds, "doc_id").agg(F.sum("n_tokens").alias("n"), F.max(F.col("first_token") + F.col("n_tokens")).alias("end"), F.count("*").alias("pieces"), F.max("piece").alias("last"), F.countDistinct("first_token").alias("starts"))
+    broken = (F.col("n") != F.col("end")) | (F.col("pieces") != F.col("last") + 1) | (F.col("starts") != F.col("pieces"))
+    whole = texts.groupBy(*kinds).agg(F.count("*").alias("texts"), F.count(F.when(broken, 1)).alias("broken_texts"))
+    filled = placed.groupBy(*kinds, "container_id").agg(F.sum("n_tokens").alias("n"), F.max("used_tokens").alias("said"))
+    over = filled.groupBy(*kinds).agg(F.count(F.when((F.col("n") > F.col("capacity_tokens")) | (F.col("n") != F.col("said")), 1)).alias("wrong_containers"))
+    named = table(spark, folder, "documents").select("doc_id", F.nullif(F.trim("paper_key"), F.lit("")).alias("paper"), F.when(F.col("text") != "", F.md5("text")).alias("digest"))
+    marks = placed.join(named, "doc_id").select(*kinds, "container_id", F.explode(F.array(F.concat(F.lit("p"), "paper"), F.concat(F.lit("t"), "digest"))).alias("mark")).where("mark is not null")
+    twice = marks.groupBy(*kinds, "container_id", "mark").count().where("count > 1").groupBy(*kinds).agg(F.count("*").alias("clashes"))
+    return whole.join(over, kinds).join(twice, kinds, "left").select(*kinds, "texts", "broken_texts", "wrong_containers", F.coalesce("clashes", F.lit(0).cast("long")).alias("clashes"))
 
 
 def _plan(spark: SparkSession, folder: str) -> list[dict]:
@@ -83,11 +98,26 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     used = sizes.withColumn("uses", mixing.repeats(plan)).where("uses > 0").groupBy("source").agg(F.count("*").alias("documents"), F.max("uses").alias("most_uses"), F.sum(F.col("uses") * F.col("n_tokens")).alias("tokens"))
     aims = spark.createDataFrame([(p["source"], p["target_share"], p["aim_share"], p["max_repeats"]) for p in plan], "source string, target_share double, aim_share double, max_repeats int")
     whole = used.agg(F.sum("tokens").alias("_all"))
-    joined = aims.join(used, "source", "left").join(F.broadcast(whole))
+    joined = aims.join(used, "source", "left").withColumn("_all", whole.scalar())
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
     return joined.select("source", "target_share", "aim_share", "max_repeats", zero("documents"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"), zero("tokens"), F.coalesce(F.col("tokens") / F.col("_all"), F.lit(0.0)).alias("reached_share"))
 
 
+def p8_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Per source of the targets: documents there are, those used more often than allowed, uses with another text, and whether the share of tokens is more than half a hundredth off."""
+    shares = {r["source"]: r for r in p8_shares(spark, folder).collect()}
+    off = F.lit(False)
+    for s, r in shares.items():
+        off = F.when(F.col("source") == s, F.lit(abs(r["reached_share"] - r["aim_share"]) > 0.005)).otherwise(off)
+    caps = table(spark, folder, "mix_targets").select(mixing.source_name(F.col("source")).alias("source"), "target_share", "max_repeats")
+    documents = table(spark, folder, "documents").where("text is not null").select("doc_id", mixing.source_name(F.col("source")).alias("source"), F.md5("text").alias("digest"))
+    uses = p8_mixed(spark, folder).groupBy("source", "doc_id").agg(F.count("*").alias("uses"), F.max(F.md5("text")).alias("a"), F.min(F.md5("text")).alias("b"))
+    met = documents.join(uses, ["source", "doc_id"], "left").join(F.broadcast(caps), "source")
+    counted = met.groupBy("source").agg(F.count("*").alias("documents"), F.count(F.when(F.col("uses") > F.col("max_repeats"), 1)).alias("over_cap"), F.count(F.when((F.col("a") != F.col("digest")) | (F.col("b") != F.col("digest")), 1)).alias("wrong_texts"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
+    return caps.join(counted, "source", "left").select("source", "target_share", "max_repeats", zero("documents"), zero("over_cap"), zero("wrong_texts"), off.alias("share_off"))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of documents that read identically and differ in their characters."""
     forms = materialize(canonical.text_forms(table(spark, folder, "documents")), "forms")
@@ -104,8 +134,10 @@ QUERIES = {
     "p1_counts": p1_counts,
     "p7_packed": p7_packed,
     "p7_fill": p7_fill,
+    "p7_checks": p7_checks,
     "p8_mixed": p8_mixed,
     "p8_shares": p8_shares,
+    "p8_checks": p8_checks,
     "p9_found": p9_found,
     "p9_classes": p9_classes,
 }
@@ -119,6 +151,10 @@ counts as (select slot, term, count(*) as occurrences, count(distinct (ftype, id
 marked as (select slot, term, occurrences, records, case when records < 3 then 'rare' when records > 0.1 * n_all then 'common' end as mark from counts, n)
 """
 ORACLE = {
+    "p7_checks": """select container_kind, capacity_tokens::bigint as capacity_tokens, (select count(*) from documents where text is not null) as texts,
+0::bigint as broken_texts, 0::bigint as wrong_containers, 0::bigint as clashes from containers""",
+    "p8_checks": """select lower(trim(t.source, ' ')) as source, target_share, max_repeats, (select count(*) from documents d where d.text is not null and lower(trim(d.source, ' ')) = lower(trim(t.source, ' '))) as documents,
+0::bigint as over_cap, 0::bigint as wrong_texts, false as share_off from mix_targets t""",
     "p1_found": _TERMS + "select slot, term, mark from marked where mark is not null",
     "p1_counts": _TERMS + "select slot, term, occurrences, records, mark from marked",
 }

@@ -133,6 +133,39 @@ def test_token_counts():
     assert pieces == token_count(e, short)
 
 
+def test_a_hot_document_spreads_over_all_blocks(spark):
+    """Sixty thousand equal rows of one document, and rows of one cluster: every block has its share, each row is placed once."""
+    items = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") + 10).alias("doc_id"), F.lit("s").alias("source"), F.lit(None).cast("string").alias("cluster"), F.lit(5).cast("long").alias("n_tokens"))
+    kinds = spark.createDataFrame([("k", 50)], "container_kind string, capacity_tokens int")
+    placed = packing.pack(items, kinds, block_items=300)
+    per_block = Counter(x.container_id.split("-")[1] for x in placed.where("doc_id = 1").collect())
+    assert placed.count() == 3000 and len(per_block) == 10 and sum(per_block.values()) == 1000 and max(per_block.values()) < 200
+    strict = packing.pack(items, kinds, 300, source_conflict=True)
+    assert strict.count() == 3000 == strict.select("container_id").distinct().count()
+
+
+def test_the_bound_holds():
+    r = random.Random(8)
+    for _ in range(60):
+        capacity = r.choice([9, 10, 31])
+        sizes = [r.randint(0, capacity) for _ in range(r.randint(1, 8))]
+        bins: list[int] = []
+
+        def fewest(i, bins):
+            if i == len(sizes):
+                return len(bins)
+            best = 99
+            for b in range(len(bins)):
+                if bins[b] + sizes[i] <= capacity:
+                    bins[b] += sizes[i]
+                    best = min(best, fewest(i + 1, bins))
+                    bins[b] -= sizes[i]
+            return min(best, fewest(i + 1, [*bins, sizes[i]]))
+
+        least = packing.least_containers(np.array(sizes), np.ones(len(sizes), np.int64), capacity)
+        assert least <= fewest(0, bins) and least >= -(-sum(sizes) // capacity)
+
+
 def test_best_fit_is_tight():
     r = random.Random(3)
     for capacity in (10, 1000):
@@ -179,12 +212,34 @@ def test_p7_places_everything_once(folder, spark):
     assert whole["m"].tokens == sum(size[i] * n for i, n in copies.items())
 
 
+def _tail_rates(u, k):
+    """The rate at which a Poisson count with the uniform number `u` reaches `k`: where P(X < k) falls to u. By bisection."""
+    low, high = np.zeros(len(u)), np.full(len(u), mixing.TOP_RATE)
+    for _ in range(60):
+        mid = (low + high) / 2
+        more = mixing.below(k, mid) > u
+        low, high = np.where(more, mid, low), np.where(more, high, mid)
+    return high
+
+
+def test_rates_from_cells(spark):
+    """The rate found on cells draws as many tokens as one found on all documents, and no more than asked for."""
+    r = np.random.default_rng(3)
+    docs = [(int(i), "s" if i % 3 else "t", int(n)) for i, n in enumerate(r.integers(1, 900, 5000))]
+    sizes = spark.createDataFrame(docs, "doc_id long, source string, n_tokens long")
+    u = {x.doc_id: x.u for x in sizes.select("doc_id", mixing.uniform(F.col("doc_id"), 1).alias("u")).collect()}
+    plan = {p["source"]: p for p in mixing.plan_mix(sizes, spark.createDataFrame([("s", 0.3, 4), ("t", 0.7, 3)], "source string, target_share double, max_repeats int"))}
+    drawn = lambda rate: sum(n * sum(u[i] >= float(mixing.below(k, rate)) for k in range(1, 5)) for i, s, n in docs if s == "s")
+    goal, rate = plan["s"]["tokens_aimed"], plan["s"]["rate"]
+    assert plan["t"]["rate"] == float("inf") and goal - 900 <= drawn(rate) <= goal
+
+
 def test_poisson_inversion():
     rate = 1.7
     u = np.random.default_rng(1).random(20_000)
-    counts = sum((mixing.poisson_tail_rates(u, k) <= rate).astype(int) for k in range(1, 12))
+    counts = sum((_tail_rates(u, k) <= rate).astype(int) for k in range(1, 12))
     assert abs(counts.mean() - rate) < 0.03 and abs(counts.var() - rate) < 0.08
-    assert np.array_equal(mixing.poisson_tail_rates(u[:500], 2) <= rate, u[:500] >= mixing.below(2, rate))
+    assert np.array_equal(_tail_rates(u[:500], 2) <= rate, u[:500] >= mixing.below(2, rate))
 
 
 def test_p8_shares_and_caps(folder, spark):
