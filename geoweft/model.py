@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +31,13 @@ class Graph:
 
     def __init__(self, nodes: DataFrame, ways: DataFrame, relations: DataFrame) -> None:
         self.tables = {"node": nodes, "way": ways, "relation": relations}
+        self._known: dict[str, DataFrame] = {}
+
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """What several operators derive from this graph and write down: made on first use."""
+        if name not in self._known:
+            self._known[name] = make()
+        return self._known[name]
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> Graph:

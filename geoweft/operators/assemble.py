@@ -12,15 +12,15 @@ from geoweft.operators import hierarchy
 from geoweft.session import materialize, materialize_counted
 
 
-def way_nodes(graph: Graph) -> DataFrame:
-    """One row per way and position: `id`, `pos`, `ref`, and `x`, `y` of the node, null where no located node has that id."""
-    exploded = graph.ways("node_ids").select("id", F.posexplode_outer("node_ids").alias("pos", "ref"))
+def way_nodes(graph: Graph, ways: DataFrame | None = None) -> DataFrame:
+    """One row per way (of all, or of `ways`: id, node_ids) and position: `id`, `pos`, `ref`, and `x`, `y` of the node, null where no located node has that id."""
+    exploded = (graph.ways("node_ids") if ways is None else ways).select("id", F.posexplode_outer("node_ids").alias("pos", "ref"))
     nodes = graph.located_nodes().select(F.col("id").alias("ref"), "x", "y")
     return exploded.join(nodes, "ref", "left").select("id", "pos", "ref", "x", "y")
 
 
-def way_status(graph: Graph) -> DataFrame:
-    """Each way once: `n_refs`, `n_missing`, `closed` (first and last node are the same), `status`, and the bounds of its nodes.
+def way_status(graph: Graph, ways: DataFrame | None = None) -> DataFrame:
+    """Each way (of all, or of `ways`: id, node_ids) once: `n_refs`, `n_missing`, `closed` (first and last node are the same), `status`, and the bounds of its nodes.
 
     status: `missing` if any node is, `short` with fewer than two nodes, `ring` for a closed way of fewer than three beside the
     closing one, else `ok`. One aggregate over the joined positions, without gathering them.
@@ -28,7 +28,7 @@ def way_status(graph: Graph) -> DataFrame:
     last = F.max(F.struct("pos", "ref"))["ref"]
     first = F.min(F.struct("pos", "ref"))["ref"]
     n = F.count("pos")
-    g = way_nodes(graph).groupBy("id").agg(
+    g = way_nodes(graph, ways).groupBy("id").agg(
         n.cast("int").alias("n_refs"),
         (n - F.count("x")).cast("int").alias("n_missing"),
         F.coalesce((n > 1) & (first == last), F.lit(False)).alias("closed"),
@@ -50,9 +50,9 @@ def way_shapes(graph: Graph) -> DataFrame:
     return g.select("id", "closed", F.transform(kept, lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"))).alias("shape"), F.transform(kept, lambda q: q["ref"]).alias("node_ids"))
 
 
-def relation_members(graph: Graph) -> DataFrame:
-    """One row per relation and member that names an element: `id`, `pos`, `mtype`, `ref`, `role` ('' for null), self-references left out."""
-    rows = graph.relations("members").select("id", F.explode("members").alias("m"))
+def relation_members(graph: Graph, relations: DataFrame | None = None) -> DataFrame:
+    """One row per relation (of all, or of `relations`: id, members) and member that names an element: `id`, `pos`, `mtype`, `ref`, `role` ('' for null), self-references left out."""
+    rows = (graph.relations("members") if relations is None else relations).select("id", F.explode("members").alias("m"))
     return rows.select("id", F.col("m.pos").alias("pos"), member_type(F.col("m.type")).alias("mtype"), F.col("m.ref").alias("ref"), F.coalesce("m.role", F.lit("")).alias("role")).where(
         "mtype is not null and ref is not null and not (mtype = 'relation' and ref = id)"
     )
@@ -64,11 +64,27 @@ def _placed(graph: Graph) -> DataFrame:
     return nodes.unionByName(way_status(graph).where("status = 'ok'").select(F.lit("way").alias("ftype"), "id"))
 
 
-def valid_relations(graph: Graph) -> DataFrame:
+def valid_relations(graph: Graph, only: DataFrame | None = None) -> DataFrame:
     """`id` of relations that have a located node or valid way at some depth; others are dropped, and missing to their parents.
 
-    Most have one directly. Only links of the others are followed, upwards with doubling jumps.
+    Most have one directly. Only links of the others are followed, upwards with doubling jumps. With `only` (id, members) none but these are asked
+    about, and the rest of the hierarchy is looked at only if some of them have nothing themselves but relations.
     """
+    if only is not None:
+        members = relation_members(graph, only)
+        refs = members.where("mtype = 'way'").select(F.col("ref").alias("id")).distinct()
+        ways = way_status(graph, graph.ways("node_ids").join(refs, "id", "left_semi")).where("status = 'ok'").select(F.lit("way").alias("mtype"), F.col("id").alias("ref"))
+        nodes = graph.located_nodes().select(F.lit("node").alias("mtype"), F.col("id").alias("ref"))
+        hit = members.where("mtype <> 'relation'").join(nodes.unionByName(ways), ["mtype", "ref"], "left_semi").select("id").distinct().withColumn("direct", F.lit(True))
+        # One row for each that may be valid: whether it is, or has relations to ask further.
+        asked, n = materialize_counted(members.groupBy("id").agg(F.bool_or(F.col("mtype") == "relation").alias("upper")).join(hit, "id", "left").where("direct or upper"), "asked")
+        direct = asked.where("direct").select("id")
+        rest = asked.where("direct is null").select("id")
+        return direct.unionByName(valid_relations(graph).join(rest, "id", "left_semi")) if n and rest.limit(1).count() else direct
+    return graph.once("valid relations", lambda: _all_valid_relations(graph))
+
+
+def _all_valid_relations(graph: Graph) -> DataFrame:
     members = relation_members(graph)
     placed = _placed(graph).select(F.col("ftype").alias("mtype"), F.col("id").alias("ref"))
     direct = materialize(members.where("mtype <> 'relation'").join(placed, ["mtype", "ref"], "left_semi").select("id").distinct(), "direct")
@@ -131,19 +147,23 @@ def node_roles(graph: Graph) -> DataFrame:
     return j.withColumn("orphan", ~F.col("tagged") & ~F.col("waynode") & ~F.col("member"))
 
 
-def node_features(graph: Graph) -> DataFrame:
-    """Nodes that are features (tagged, members, at a shared location, or orphans) with their tags, synthetic ones included.
+def node_features(graph: Graph, wanted: Column | None = None, untagged: bool = True) -> DataFrame:
+    """Nodes that are features (tagged, members, at a shared location, or orphans) with their tags, synthetic ones included: `id`, `x`, `y`, `tags`.
 
-    An untagged node gets the tag DUPLICATE at a shared location and ORPHAN if nothing uses it.
+    An untagged node gets the tag DUPLICATE at a shared location and ORPHAN if nothing uses it. A tagged one is a feature whatever uses it, so it is
+    joined with nothing. `wanted` is a condition on real tags, for the tagged; `untagged` says whether others may be left out.
     """
-    roles = node_roles(graph).where("tagged or member or shared or orphan")
-    tagged = graph.nodes("tags").join(roles, "id")
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    tagged = F.coalesce(F.size("tags"), F.lit(0)) > 0
+    own = graph.located_nodes("tags").where(tagged if wanted is None else tagged & wanted).select("id", "x", "y", "tags")
+    if not untagged:
+        return own
+    roles = node_roles(graph).where("not tagged and (member or shared or orphan)")
     extra = F.map_concat(
-        F.when(~F.col("tagged") & F.col("shared"), F.create_map(F.lit(T.DUPLICATE), F.lit("yes"))).otherwise(none),
+        F.when(F.col("shared"), F.create_map(F.lit(T.DUPLICATE), F.lit("yes"))).otherwise(none),
         F.when(F.col("orphan"), F.create_map(F.lit(T.ORPHAN), F.lit("yes"))).otherwise(none),
     )
-    return tagged.withColumn("tags", F.map_concat(F.coalesce("tags", none), extra))
+    return own.unionByName(roles.select("id", "x", "y", extra.alias("tags")))
 
 
 def osm_stats(graph: Graph) -> DataFrame:

@@ -18,6 +18,8 @@ from geoweft.session import materialize, materialize_counted
 
 #: Jumps are kept to about this many times the links.
 JUMPS = 8
+#: Rounds of labels along plain links before jumps are made.
+LINK_ROUNDS = 2
 
 
 def distinct_links(links: DataFrame, parent: str, child: str) -> DataFrame:
@@ -48,10 +50,10 @@ def _double(jumps: DataFrame, n: int, links: int, number: int) -> tuple[DataFram
 def propagate_min(links: DataFrame, labels: DataFrame, names: Sequence[str] = ("label",)) -> DataFrame:
     """For each node (`id`, `names`) the least of each label among its ancestors and itself, along `src` to `dst`; null is no label.
 
-    Jumps double each round; it ends when no link would change a label, so cycles do no harm.
+    Jumps double each round but the first LINK_ROUNDS, which end most hierarchies; it ends when no link would change a label, so cycles do no harm.
     """
     jumps, number, n = links, 0, links.count()
-    all_links = n
+    all_links, rounds = n, 0
     while all_links:
         step = (jumps if jumps is links else links.unionByName(jumps)).join(labels.withColumnRenamed("id", "src"), "src")
         best = step.groupBy(F.col("dst").alias("id")).agg(*(F.min(c).alias(f"_b_{c}") for c in names))
@@ -63,7 +65,8 @@ def propagate_min(links: DataFrame, labels: DataFrame, names: Sequence[str] = ("
         labels = materialize(new.select("id", *names), "labels")
         if not seen.get["n"]:
             return labels
-        if n:
+        rounds += 1
+        if n and rounds > LINK_ROUNDS:
             jumps, n = _double(jumps, n, all_links, number)
             number += 1
     return labels

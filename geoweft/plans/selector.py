@@ -175,6 +175,20 @@ def predicate(query: str | list[Selector], ftype: Column | None = None, is_area:
     return reduce(lambda a, b: a | b, each)
 
 
+def tags_predicate(query: str | list[Selector], types: str, tags: Column | None = None) -> Column:
+    """What tags alone say: the clauses of some selector that accepts one of `types` hold. Every match of these types passes it."""
+    tags = F.col("tags") if tags is None else tags
+    selectors = [s for s in (parse(query) if isinstance(query, str) else query) if set(s.types) & set(types)]
+    each = [reduce(lambda a, b: a & b, (_clause(c, tags) for c in s.clauses), F.lit(True)) for s in selectors]
+    return reduce(lambda a, b: a | b, each, F.lit(False))
+
+
+def needs_tag(query: str | list[Selector], types: str, but: str) -> bool:
+    """Whether each selector that accepts one of `types` asks for a key that does not start with `but`, so that nothing untagged matches."""
+    selectors = [s for s in (parse(query) if isinstance(query, str) else query) if set(s.types) & set(types)]
+    return all(any(c.op in ("present", "=", "<", "<=", ">", ">=") and not c.key.startswith(but) for c in s.clauses) for s in selectors)
+
+
 def accepted_types(query: str | list[Selector]) -> str:
     """All types that some selector accepts, in the order n w a r."""
     selectors = parse(query) if isinstance(query, str) else query
