@@ -82,7 +82,7 @@ def area_tags(tags: Column, rules: list[AreaRule], decisive: str) -> Column:
     """Whether tags make an area. If the key `decisive` (`area` for ways, `type` for relations) has a rule and is present, it alone decides;
     a rule with `except` is never decisive. False for null tags."""
     each = {r.key: F.coalesce(_makes_area(r, F.try_element_at(tags, F.lit(r.key))), F.lit(False)) for r in rules}
-    # The other element's decisive key makes no area here: `type` says nothing of a way, `area` is an ordinary tag of a relation.
+    # The other element's decisive key counts like any other rule here.
     any_of = reduce(lambda a, b: a | b, [c for c in each.values()], F.lit(False))
     rule = next((r for r in rules if r.key == decisive and not r.exclude), None)
     if rule is None:

@@ -39,7 +39,7 @@ def degrees_text(value: Column, precision: int = 7) -> Column:
 
 
 def degrees_fixed(value: Column) -> Column:
-    return F.format_string("%.7f", value)
+    return F.when(value.isNotNull(), F.format_string("%.7f", value))
 
 
 def typed_id(ftype: Column, fid: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoweft.functions import mercator
+from geoweft.functions import tags as T
 from geoweft.functions.text import degrees_text
 from geoweft.model import Graph
 from geoweft.operators import area, assemble
@@ -67,7 +68,7 @@ def _area_parts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series(out)
 
 
-def geometries(graph: Graph) -> DataFrame:
+def geometries(graph: Graph, rules: list[T.AreaRule] | None = None) -> DataFrame:
     """`ftype`, `id`, `parts` (array of PART), `whole`: point, line, polygon, multipolygon or collection, for all located nodes, valid ways and relations.
 
     Ways that are areas are polygons. Relations that are areas have their outer and inner member ways stitched to rings, with
@@ -76,7 +77,7 @@ def geometries(graph: Graph) -> DataFrame:
     pt = lambda x, y: F.struct(F.col(x).cast("long").alias("x"), F.col(y).cast("long").alias("y"))
     part = lambda kind, rings: F.struct(kind.alias("kind"), rings.alias("rings"))
     nodes = graph.located_nodes().select(F.lit("node").alias("ftype"), "id", F.lit("point").alias("whole"), F.array(part(F.lit("point"), F.array(F.array(pt("x", "y"))))).alias("parts"))
-    flags = assemble.area_flags(graph)
+    flags = assemble.area_flags(graph, rules)
     line = F.transform(F.when(F.col("closed"), F.concat("shape", F.slice("shape", 1, 1))).otherwise(F.col("shape")), lambda p: F.struct(p["x"].cast("long").alias("x"), p["y"].cast("long").alias("y")))
     kind = F.when(F.col("is_area"), "polygon").otherwise("line")
     ways = assemble.way_shapes(graph).join(flags.where("ftype = 'way'").select("id", "is_area"), "id").select(F.lit("way").alias("ftype"), "id", kind.alias("whole"), F.array(part(kind, F.array(line))).alias("parts"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -94,8 +96,8 @@ def assign_bounds(features: DataFrame, kept: DataFrame, levels: list[int]) -> Da
     return placed.join(names, "_cover", "left").drop("_cover")
 
 
-def hilbert_pack(features: DataFrame, bucket: int = 16) -> DataFrame:
-    """`features` (tile, minx, miny, maxx, maxy, ftype, id) with `hilbert` of their centre and `leaf`, filled with `bucket` features in that order within the tile.
+def hilbert_pack(features: DataFrame, bucket: int = 16, within: Sequence[str] = ()) -> DataFrame:
+    """`features` (tile, minx, miny, maxx, maxy, ftype, id) with `hilbert` of their centre and `leaf`, filled with `bucket` features in that order within the tile (and the columns `within`).
 
     Numbers run within a tile and a slice of the curve, so that a tile with a third of all features is spread over many tasks; a
     slice's last leaf may hold fewer.
@@ -103,7 +105,7 @@ def hilbert_pack(features: DataFrame, bucket: int = 16) -> DataFrame:
     centre = lambda a, b: F.floor((F.col(a).cast("long") + F.col(b).cast("long")) / 2)
     d = features.withColumn("hilbert", mercator.hilbert(centre("minx", "maxx"), centre("miny", "maxy")))
     slices = d.withColumn("_slice", F.shiftright("hilbert", 20))
-    w = Window.partitionBy("tile", "_slice").orderBy("hilbert", "ftype", "id")
+    w = Window.partitionBy("tile", *within, "_slice").orderBy("hilbert", "ftype", "id")
     return slices.withColumn("leaf", F.concat_ws("-", F.col("_slice").cast("string"), F.floor((F.row_number().over(w) - 1) / bucket).cast("string"))).drop("_slice")
 
 

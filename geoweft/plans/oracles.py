@@ -106,8 +106,8 @@ select code, str, part from coded where code < {max_strings}"""
     )
 
 
-def _tile_sizes_sql() -> str:
-    """The sizes of tiles, a common table expression per level from the finest to the root."""
+def tile_sizes_ctes() -> str:
+    """The sizes of tiles, a common table expression per level from the finest to the root, and `sizes` of those kept."""
     steps, levels = [], sorted(LEVELS)
     kept = f"(zoom = 0 or nodes >= {DENSITY})"
     for i, z in reversed(list(enumerate(levels))):
@@ -119,12 +119,13 @@ def _tile_sizes_sql() -> str:
             f"b{z} as (select r.*, {kept} as kept, {tiling.BYTES_PER_TILE} + coalesce(c.s, 0) as bytes from roll r left join (select col >> {shift} as pc, row >> {shift} as pr, "
             f"sum(bytes // {tiling.CHILD_SHARE} + case when kept then 0 else bytes end) as s from {below} group by 1, 2) c on c.pc = r.col and c.pr = r.row where r.zoom = {z})"
         )
-    return _ROLL + ", " + ", ".join(steps) + " union all ".join(f" select zoom, col, row, nodes, bytes::bigint as bytes from b{z} where kept" for z in levels)
+    whole = " union all ".join(f" select zoom, col, row, nodes, bytes::bigint as bytes from b{z} where kept" for z in levels)
+    return _ROLL + ", " + ", ".join(steps) + f", sizes as ({whole}) "
 
 
 ORACLE = {
     "string_topk": _string_table_sql(3, 400),
-    "tile_sizes": _tile_sizes_sql(),
+    "tile_sizes": tile_sizes_ctes() + "select zoom, col, row, nodes, bytes from sizes",
     "count_by_type": BASE + "select ftype, is_area, count(*) as features from f group by ftype, is_area",
     "selector_key": _SEL + "ftype = 'way' and not is_area and tags['highway'] is not null",
     "selector_eq": _SEL + "(ftype = 'node' or is_area) and tags['amenity'] = 'tree'",

@@ -143,7 +143,7 @@ left join etag g on g.ftype = e.ftype and g.id = e.id where not e.del and e.exis
     "coincident_nodes": _CH + "select id from coin",
     "change_actions": _CH + "select ftype, action, count(*) as elements from acts group by ftype, action",
     "merge_apply": _CH
-    + """select ftype, id, txt as tags_text from txt where (ftype, id) not in (select (ftype, id) from eff)
+    + """select ftype, id, txt as tags_text from txt where not exists (select 1 from eff where eff.ftype = txt.ftype and eff.id = txt.id)
 union all select e.ftype, e.id, coalesce(g.txt, '') from eff e left join etag g on g.ftype = e.ftype and g.id = e.id where not e.del""",
     "merged_ways": _CH
     + """select id, n_refs, n_missing, closed, case when n_missing > 0 then 'missing' when n_refs < 2 then 'short' when closed and n_refs < 4 then 'ring' else 'ok' end as status,

@@ -96,6 +96,26 @@ def list_names(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
 
 
+def open_file(path: str, mode: str = "rb"):
+    """A file of bytes for reading or writing, by a local path or the address of a file system that pyarrow knows."""
+    if "://" not in path or path.startswith("file://"):
+        return open(path.removeprefix("file://"), mode)
+    from pyarrow.fs import FileSystem
+
+    fs, where = FileSystem.from_uri(path)
+    return fs.open_output_stream(where) if "w" in mode else fs.open_input_file(where)
+
+
+def rename_file(old: str, new: str) -> None:
+    if "://" not in old or old.startswith("file://"):
+        os.replace(old.removeprefix("file://"), new.removeprefix("file://"))
+        return
+    from pyarrow.fs import FileSystem
+
+    fs, where = FileSystem.from_uri(old)
+    fs.move(where, FileSystem.from_uri(new)[1])
+
+
 def write_json(spark: SparkSession, path: str, value: object) -> None:
     """Write a small JSON file that must not exist yet: of two writers of one name the second fails, on any file system that creates exclusively."""
     fs, where = filesystem(spark, path)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -15,6 +14,7 @@ from geoweft.functions import mercator, text
 from geoweft.functions import tags as T
 from geoweft.model import Graph, member_type
 from geoweft.operators.closure import above_nodes as closure_above
+from geoweft.session import open_file, rename_file
 from geoweft.sources import wire
 from geoweft.sources.pbf import MEMBER_TYPES
 
@@ -84,13 +84,13 @@ def xml_element(located: bool = False) -> Column:
 def write_xml(rows: DataFrame, path: str) -> int:
     """An OSM XML file; the sorted elements stream through the driver, a partition at a time. Returns their number."""
     n = 0
-    with open(path + ".tmp", "w", encoding="utf-8") as out:
-        out.write(f'<?xml version="1.0" encoding="UTF-8"?>\n<osm version="0.6" generator="{GENERATOR}" upload="false">\n')
+    with open_file(path + ".tmp", "wb") as out:
+        out.write(f'<?xml version="1.0" encoding="UTF-8"?>\n<osm version="0.6" generator="{GENERATOR}" upload="false">\n'.encode())
         for r in rows.orderBy("code", "id").select(xml_element("line" in rows.columns)).toLocalIterator():
-            out.write(r[0] + "\n")
+            out.write((r[0] + "\n").encode())
             n += 1
-        out.write("</osm>\n")
-    os.replace(path + ".tmp", path)
+        out.write(b"</osm>\n")
+    rename_file(path + ".tmp", path)
     return n
 
 
@@ -156,10 +156,46 @@ def write_pbf(rows: DataFrame, path: str, source: str = "") -> int:
     """An OSM PBF file. Tasks encode and compress their sorted ranges; the driver only joins the finished blobs, in order. Returns the number of blobs."""
     n = 0
     encoded = rows.repartitionByRange("code", "id").sortWithinPartitions("code", "id").mapInPandas(_blocks, "code int, first long, blob binary")
-    with open(path + ".tmp", "wb") as out:
+    with open_file(path + ".tmp", "wb") as out:
         out.write(blob("OSMHeader", header_block(source, "line" in rows.columns)))
         for r in encoded.toLocalIterator():
             out.write(r["blob"])
             n += 1
-    os.replace(path + ".tmp", path)
+    rename_file(path + ".tmp", path)
     return n
+
+
+def change_element() -> Column:
+    """One change in the section it belongs to, from the columns of the changes table; what has no key, value, reference or type is left out."""
+    def esc(c: Column) -> Column:
+        for plain, entity in (("\n", "&#10;"), ("\r", "&#13;"), ("\t", "&#9;")):
+            c = F.replace(c, F.lit(plain), F.lit(entity))
+        return c
+
+    quoted = lambda c: esc(text.xml_escape(c))
+    given = lambda name, c: F.coalesce(F.concat(F.lit(f' {name}="'), c.cast("string"), F.lit('"')), F.lit(""))
+    joined = lambda items, held, one: F.coalesce(F.array_join(F.transform(F.filter(items, held), one), ""), F.lit(""))
+    tags = joined("tags", lambda t: t["k"].isNotNull() & t["v"].isNotNull(), lambda t: F.concat(F.lit('<tag k="'), quoted(t["k"]), F.lit('" v="'), quoted(t["v"]), F.lit('"/>')))
+    refs = joined("refs", lambda r: r.isNotNull(), lambda r: F.concat(F.lit('<nd ref="'), r.cast("string"), F.lit('"/>')))
+    members = joined("members", lambda m: member_type(m["type"]).isNotNull() & m["ref"].isNotNull(), lambda m: F.concat(F.lit('<member type="'), member_type(m["type"]), F.lit('" ref="'), m["ref"].cast("string"), F.lit('" role="'), quoted(F.coalesce(m["role"], F.lit(""))), F.lit('"/>')))
+    inner = F.concat(F.when(F.col("ftype") == "way", refs).otherwise(""), F.when(F.col("ftype") == "relation", members).otherwise(""), tags)
+    place = F.when(F.col("ftype") == "node", F.concat(given("lat", F.col("lat")), given("lon", F.col("lon")))).otherwise("")
+    section = F.when(F.coalesce("is_deleted", F.lit(False)) | F.coalesce(F.lower(F.trim("op")) == "delete", F.lit(False)), "delete").when(F.lower(F.trim("op")) == "create", "create").otherwise("modify")
+    return F.concat(F.lit("<"), section, F.lit("><"), F.col("ftype"), given("id", F.col("id")), given("version", F.col("version")), place, F.lit(">"), inner, F.lit("</"), F.col("ftype"), F.lit("></"), section, F.lit(">"))
+
+
+def write_changes(changes: DataFrame, folder: str) -> None:
+    """An update archive: change files, gzipped, in a folder, one per task, in the order of `seq` within and between files.
+
+    Files are written by Spark's commit protocol, so there are as many of any size, on any file system; `osc.read_changes` reads them back.
+    A change without type or id is none.
+    """
+
+    def framed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"line": ['<?xml version="1.0" encoding="UTF-8"?>', f'<osmChange version="0.6" generator="{GENERATOR}">']})
+        yield from batches
+        yield pd.DataFrame({"line": ["</osmChange>"]})
+
+    rows = changes.where(F.col("ftype").isin("node", "way", "relation") & F.col("id").isNotNull())
+    ordered = rows.repartitionByRange("seq").sortWithinPartitions("seq").select(change_element().alias("line"))
+    ordered.mapInPandas(framed, "line string").write.option("compression", "gzip").text(folder)

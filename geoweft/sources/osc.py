@@ -73,7 +73,7 @@ def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         for path, content in zip(b["path"], b["content"]):
             held = []
-            for row in parse_changes(content, path.rsplit("/", 1)[-1]):
+            for row in parse_changes(content, path):
                 held.append(row)
                 if len(held) == 20_000:
                     yield pd.DataFrame(held, columns=names)
@@ -89,13 +89,13 @@ def read_changes(spark: SparkSession, *paths: str) -> DataFrame:
     return parse_files(spark.read.format("binaryFile").load(list(paths)))
 
 
-#: Bits of a change's sequence number: position in its file, number of the file in its batch, batch.
-POSITION_BITS, FILE_BITS = 28, 12
+#: Bits of a change's sequence number: position in its file, number of the file in its batch; the batch has the other 19.
+POSITION_BITS, FILE_BITS = 24, 20
 
 
-def as_changes(rows: DataFrame, batch: int = 0) -> DataFrame:
-    """Rows of CHANGES in the columns of the changes table. Files of one batch are numbered by name, one row each; at most 4,096 of them."""
-    numbered = rows.select("file").distinct().withColumn("_file", F.row_number().over(Window.orderBy("file")) - 1)
+def as_changes(rows: DataFrame, files: DataFrame, batch: int = 0) -> DataFrame:
+    """Rows of CHANGES in the columns of the changes table. `files` (path) are numbered by their names, a row each: a million in one batch, 16 million changes in one."""
+    numbered = files.select(F.col("path").alias("file")).distinct().withColumn("_file", F.row_number().over(Window.orderBy("file")) - 1)
     fits = F.assert_true((F.col("_file") < 2**FILE_BITS) & (F.col("position") < 2**POSITION_BITS), "too many files in a batch, or changes in a file")
     seq = F.lit(batch).cast("long") * 2 ** (FILE_BITS + POSITION_BITS) + F.shiftleft(F.col("_file").cast("long"), POSITION_BITS) + F.col("position")
     at = lambda c: F.round(F.col(c) * UNIT).cast("int")
@@ -106,8 +106,8 @@ def as_changes(rows: DataFrame, batch: int = 0) -> DataFrame:
 
 
 def parse_files(files: DataFrame, batch: int = 0) -> DataFrame:
-    """Changes of files given as rows `path`, `content`."""
-    return as_changes(files.select("path", "content").mapInPandas(_rows, CHANGES), batch)
+    """Changes of files given as rows `path`, `content`; the numbers of files need no look into them."""
+    return as_changes(files.select("path", "content").mapInPandas(_rows, CHANGES), files, batch)
 
 
 def parse_state(text: str) -> tuple[int, str]:

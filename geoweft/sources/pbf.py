@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from geoweft.session import open_file
 from geoweft.sources import wire
 
 SCHEMA = "ftype string, id long, lon int, lat int, node_ids array<bigint>, members array<struct<pos:int,type:string,ref:bigint,role:string>>, tags map<string,string>, places array<struct<lon:int,lat:int>>"
@@ -47,7 +48,7 @@ class PbfError(ValueError):
 def blobs(path: str) -> Iterator[tuple[str, int, int]]:
     """Type, offset and size of each blob, from the headers."""
     size = os.path.getsize(path)
-    with open(path, "rb") as f:
+    with open_file(path) as f:
         at = 0
         while at < size:
             head = f.read(4)
@@ -85,7 +86,7 @@ def header(path: str) -> dict[str, object]:
     kind, at, n = next(blobs(path), (None, 0, 0))
     if kind != "OSMHeader":
         raise PbfError(f"{path}: no header block")
-    with open(path, "rb") as f:
+    with open_file(path) as f:
         f.seek(at)
         block = inflate(f.read(n))
     names = {16: "generator", 17: "source", 32: "replication_timestamp", 33: "replication_sequence", 34: "replication_url"}
@@ -192,14 +193,14 @@ class PbfReader(DataSourceReader):
         return [Blobs(self.path, spans[i : i + self.per_task]) for i in range(0, len(spans), self.per_task)]
 
     def read(self, partition: Blobs) -> Iterator[pa.RecordBatch]:
-        with open(partition.path, "rb") as f:
+        with open_file(partition.path) as f:
             for at, n in partition.spans:
                 f.seek(at)
                 yield from decode(inflate(f.read(n)))
 
 
 class PbfSource(DataSource):
-    """Option `path` (on a file system that all executors mount), `blobsPerTask` (16)."""
+    """Option `path` (a local path that all executors mount, or the address of a shared file system), `blobsPerTask` (16)."""
 
     @classmethod
     def name(cls) -> str:
@@ -209,7 +210,7 @@ class PbfSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> PbfReader:
-        return PbfReader(self.options["path"].removeprefix("file://"), int(self.options.get("blobspertask", 16)))
+        return PbfReader(self.options["path"], int(self.options.get("blobspertask", 16)))
 
 
 def read_pbf(spark: SparkSession, path: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """The feature store: built once from a graph, queried many times; saved to and loaded from bundles; checked and hashed.
 
 A store is a folder of Parquet tables: `features` (partitioned by index type n, w, a, r; sorted by tile and Hilbert position, so that row groups cover
-small boxes), `nodes` (all located nodes), `tiles` (those loaded), `catalog` (all of the build), `strings` and `meta`. A bundle has the same tables, for the tiles of an area.
+small boxes, and by index group; with `leaf`, the branch of that order), `nodes` (all located nodes), `tiles` (those loaded), `catalog` (all of the build), `indexes` (groups of keys per tile),
+`checksums` (per tile), `strings` and `meta`. A bundle has the same tables, for the tiles of an area.
 """
 
 from __future__ import annotations
@@ -12,10 +13,10 @@ from dataclasses import asdict, dataclass, fields
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoweft.functions import mercator, text
+from geoweft.functions import text
 from geoweft.functions import tags as T
 from geoweft.model import MEMBERS, Graph, member_type
 from geoweft.operators import area, assemble, geometry, hierarchy, relations, strings, tiling
@@ -58,9 +59,6 @@ class BuildOptions:
         return self
 
 
-TABLES = ("features", "nodes", "tiles", "strings", "meta")
-
-
 class Store:
     """An open store."""
 
@@ -70,10 +68,13 @@ class Store:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}")
 
-    def exists(self) -> bool:
-        fs, where = filesystem(self.spark, f"{self.path}/meta")
+    def has(self, table: str) -> bool:
+        fs, where = filesystem(self.spark, f"{self.path}/{table}")
         return fs.exists(where)
 
+    def exists(self) -> bool:
+        return self.has("meta")
+
     def meta(self) -> dict[str, str]:
         """Properties; there are about twenty."""
         return {r["key"]: r["value"] for r in self.table("meta").collect()}
@@ -98,13 +99,14 @@ class Store:
         acyclic, removed = relations.break_cycles(graph)
         resolved = materialize(assemble.resolved_members(graph), "resolved")
         kept_members = relations.kept_members(resolved, removed)
-        f = features(graph, True, T.parse_area_rules(o.areas), relation_tags=relations.synthetic_relation_tags(graph, resolved, removed))
+        rules = T.parse_area_rules(o.areas)
+        f = features(graph, True, rules, relation_tags=relations.synthetic_relation_tags(graph, resolved, removed))
         deep = relations.levels(graph, acyclic).where("omitted").select(F.lit("relation").alias("ftype"), "id")
         # Written in steps, so that each plan stays small.
         f = materialize(f.join(deep, ["ftype", "id"], "left_anti"), "features")
         f = f.withColumns({"category": T.category(found), "index_bits": T.index_bits(found), "itype": F.when(F.col("is_area"), "a").otherwise(F.substring("ftype", 1, 1))})
         f = f.join(assemble.parents(graph, kept_members), ["ftype", "id"], "left")
-        shapes = materialize(geometry.geometries(graph).select("ftype", "id", "whole", "parts"), "shapes")
+        shapes = materialize(geometry.geometries(graph, rules).select("ftype", "id", "whole", "parts"), "shapes")
         f = f.join(shapes, ["ftype", "id"], "left")
         if o.waynode_ids:
             f = f.join(graph.ways("node_ids").select(F.lit("way").alias("ftype"), "id", "node_ids"), ["ftype", "id"], "left")
@@ -119,9 +121,14 @@ class Store:
         else:
             f = f.withColumn("source_members", F.lit(None).cast(MEMBERS))
         placed = tiling.assign_bounds(f.withColumns({b: F.coalesce(b, F.lit(0).cast("long")) for b in BOUNDS}), kept, levels)
-        middle = lambda a, b: F.floor((F.col(a) + F.col(b)) / 2)
-        ordered = placed.withColumn("hilbert", mercator.hilbert(middle("minx", "maxx"), middle("miny", "maxy")))
-        ordered.repartitionByRange("itype", "tile", "hilbert").sortWithinPartitions("itype", "tile", "hilbert").write.partitionBy("itype").parquet(f"{self.path}/features")
+        placed = materialize(placed, "placed")
+        groups = materialize(tiling.index_groups(placed.select("tile", "itype", "category"), o.max_key_indexes, o.key_index_min_features), "groups")
+        groups.coalesce(1).write.parquet(f"{self.path}/indexes")
+        grouped = placed.join(groups.select("tile", "itype", "category", F.col("kept_as").alias("key_group")), ["tile", "itype", "category"])
+        ordered = tiling.hilbert_pack(grouped, o.rtree_branch_size, ["itype", "key_group"])
+        sort = ["itype", "tile", "key_group", "hilbert"]
+        ordered.repartitionByRange(*sort).sortWithinPartitions(*sort).write.partitionBy("itype").parquet(f"{self.path}/features")
+        self.tile_hashes().coalesce(1).write.parquet(f"{self.path}/checksums")
         strings.string_table(strings.string_usage(graph), o.min_string_usage, o.max_strings, o.indexed_keys).coalesce(1).write.parquet(f"{self.path}/strings")
         meta = {"guid": str(uuid.uuid4()), "built": datetime.datetime.now(datetime.UTC).isoformat(timespec="seconds"), "tiles": str(kept.count()), "revision": "0"}
         meta |= {k: str(v) for k, v in asdict(o).items()} | (info or {})
@@ -187,13 +194,15 @@ class Store:
 
     def contents_hash(self) -> DataFrame:
         """One row, `contents`: the same for two stores of the same features, however they are laid out."""
-        entries = F.to_json(F.struct(F.col("parts"), F.col("members")))
-        h = F.xxhash64("ftype", "id", "is_area", T.tags_text(F.col("tags")), *BOUNDS, F.array_join(F.col("parents").cast("array<string>"), ","), entries)
-        return self.table("features").agg(F.bit_xor(h).alias("contents"))
+        return self.table("features").agg(F.bit_xor(self._row_hash()).alias("contents"))
 
     def tile_hashes(self) -> DataFrame:
         """`tile`, `features`, `checksum` of its features."""
-        return self.table("features").groupBy("tile").agg(F.count("*").alias("features"), F.bit_xor(F.xxhash64("ftype", "id", T.tags_text(F.col("tags")), *BOUNDS)).alias("checksum"))
+        return self.table("features").groupBy("tile").agg(F.count("*").alias("features"), F.bit_xor(self._row_hash()).alias("checksum"))
+
+    def _row_hash(self) -> Column:
+        entries = F.to_json(F.struct(F.col("parts"), F.col("members")))
+        return F.xxhash64("ftype", "id", "is_area", T.tags_text(F.col("tags")), *BOUNDS, F.array_join(F.col("parents").cast("array<string>"), ","), entries)
 
     def tile_stats(self) -> DataFrame:
         """`tile`, `zoom`, `col`, `row`, `nodes`, `features`, `bytes` (estimated)."""
@@ -237,6 +246,11 @@ class Store:
             out(f.where((F.col("ftype") == "node") & F.col("is_area")), "node is an area"),
             out(f.where(((F.col("itype") == "a") != F.col("is_area")) | (~F.col("is_area") & (F.col("itype") != F.substring("ftype", 1, 1)))), "wrong index"),
         ]
+        if self.has("checksums"):
+            now, then = self.tile_hashes(), self.table("checksums").withColumnsRenamed({"features": "_n", "checksum": "_sum"})
+            loaded = then.join(self.table("tiles").select(tiling.tile_name(F.col("zoom"), F.col("col"), F.col("row")).alias("tile")), "tile", "left_semi")
+            differ = loaded.join(now, "tile", "full_outer").where("not (features <=> _n and checksum <=> _sum)")
+            found.append(differ.select(F.lit("tile").alias("ftype"), F.lit(0).cast("long").alias("id"), F.concat(F.lit("checksum differs: "), F.coalesce("tile", F.lit("none"))).alias("problem")))
         whole = found[0]
         for x in found[1:]:
             whole = whole.unionByName(x)
@@ -267,7 +281,7 @@ class Store:
         out(tiles.drop("tile")).parquet(f"{to}/tiles")
         out(self.table("features").join(names, "tile", "left_semi").sortWithinPartitions("itype", "tile", "hilbert")).partitionBy("itype").parquet(f"{to}/features")
         out(self.table("nodes").join(names, "tile", "left_semi")).parquet(f"{to}/nodes")
-        for name in ("catalog", "strings"):
+        for name in ("catalog", "strings", "indexes", "checksums"):
             out(self.table(name)).parquet(f"{to}/{name}")
         other._write_meta(self.meta())
         return other

@@ -23,7 +23,7 @@ SCHEMA = (
 
 def state_table(spark: SparkSession, base: DataFrame, path: str, values: tuple[str, ...] = ()) -> upsert.BucketedTable:
     """A table to merge into, from `base` (ftype, id, version, is_deleted, seq, values)."""
-    return upsert.BucketedTable.create(base, changeset.KEYS, path=path)
+    return upsert.BucketedTable.create(base.select(*changeset.KEYS, "version", "is_deleted", "seq", *values), changeset.KEYS, path=path)
 
 
 def merge_batch(store: upsert.BucketedTable, changes: DataFrame, batch: int, values: tuple[str, ...] = ()) -> bool:
