@@ -113,7 +113,7 @@ _KIND = "case lower(m.type[1]) when 'n' then 'node' when 'w' then 'way' when 'r'
 CUT = f""", rc2 as (select src as a, dst as b from links union select rc2.a, l.dst from rc2 join links l on l.src = rc2.b),
 scc as (select f.a as id, min(f.b) as root from rc2 f join rc2 g on g.a = f.b and g.b = f.a group by f.a),
 scr as ({ENGINE["relation_scores"].removeprefix(BASE)}),
-lost as (select root, arg_min({{'s': l.src, 'd': l.dst}}, {{'score': scr.score, 's': l.src, 'd': l.dst}}) as e from links l join scc p on p.id = l.src join scc q on q.id = l.dst and q.root = p.root join scr on scr.id = l.src group by root),
+lost as (select p.root, arg_min({{'s': l.src, 'd': l.dst}}, {{'score': scr.score, 's': l.src, 'd': l.dst}}) as e from links l join scc p on p.id = l.src join scc q on q.id = l.dst and q.root = p.root join scr on scr.id = l.src group by p.root),
 acy as (select src, dst from links where not exists (select 1 from lost where lost.e.s = links.src and lost.e.d = links.dst)),
 lev as (select id, 0 as level from r union select acy.src, lev.level + 1 from lev join acy on acy.dst = lev.id),
 levels as (select id, max(level)::int as level from lev group by id)
