@@ -16,8 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoweft.functions.mercator import hilbert
-from geoweft.functions.triangles import Hierarchy, clip_boxes, ear_clip
+from geoweft.functions.triangles import Hierarchy, clip_boxes, curve, ear_clip
 from geoweft.session import materialize, materialize_counted, partitions
 
 WORLD = 2**32
@@ -128,13 +127,19 @@ def _hits(points: DataFrame, items: DataFrame, exact: bool, bound: int, leaf_siz
 
         return decide(points.mapInArrow(test, _pair_schema(points, items)))
     # The region breaks ties, so that a place with a third of all items is spread over many tasks.
-    middle = F.struct(*((F.least(*(f"{c}{a}" for c in held)) + F.greatest(*(f"{c}{a}" for c in held))).alias(a) for held in ["abc" if exact else "ab"] for a in "xy"))
-    placed = items.withColumn("_m", middle).withColumn("_at", hilbert(F.shiftright("_m.x", 1), F.shiftright("_m.y", 1))).drop("_m")
+    held = "abc" if exact else "ab"
+    middle = lambda a: F.call_function("shiftright", F.least(*(f"{c}{a}" for c in held)) + F.greatest(*(f"{c}{a}" for c in held)), F.lit(1))
+
+    @F.pandas_udf("long")
+    def along(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series(curve(x.to_numpy(), y.to_numpy()))
+
+    placed = items.withColumn("_at", along(middle("x"), middle("y")))
     ordered = placed.repartitionByRange("_at", "region").sortWithinPartitions("_at", "region")
     # Numbers run within each partition: the upper bits are the partition's.
     leaves = materialize(ordered.withColumn("_n", F.monotonically_increasing_id()).withColumn("leaf", F.expr(f"shiftleft(shiftright(_n, 33), 33) + pmod(_n, shiftleft(1L, 33)) div {leaf_size}")).drop("_at", "_n"), "leaves")
-    low = lambda a: F.min(F.least(*(f"{c}{a}" for c in ("abc" if exact else "ab"))))
-    high = lambda a: F.max(F.greatest(*(f"{c}{a}" for c in ("abc" if exact else "ab"))))
+    low = lambda a: F.min(F.least(*(f"{c}{a}" for c in held)))
+    high = lambda a: F.max(F.greatest(*(f"{c}{a}" for c in held)))
     boxes = leaves.groupBy(F.col("leaf").alias("region")).agg(low("x").alias("ax"), low("y").alias("ay"), high("x").alias("bx"), high("y").alias("by"))
     boxes, most = materialize_counted(boxes.select("region", F.struct(F.lit(0).alias("none")).alias("i"), "ax", "ay", "bx", "by", F.lit(0).cast("long").alias("cx"), F.lit(0).cast("long").alias("cy")), "boxes")
     numbered = points.select(F.struct("p", "x", "y", F.monotonically_increasing_id().alias("row")).alias("p"), "x", "y")
