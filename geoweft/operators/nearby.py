@@ -24,8 +24,8 @@ CORNERS = ["ax", "ay", "bx", "by", "cx", "cy"]
 CORNER_SCHEMA = ", ".join(f"{c} long" for c in CORNERS)
 #: Most items that are collected and sent to all tasks.
 BOUND = 50_000
-#: Items of a leaf, whose hierarchy is built in one task.
-LEAF_ITEMS = 2_048
+#: Items of a leaf, whose hierarchy is built in one task, and boxes by which points find a leaf.
+LEAF_ITEMS, PARTS = 4_096, 64
 #: Points that one task takes of a leaf, unless that made more than HOT_LEAVES leaves hot.
 POINTS_PER_TASK, HOT_LEAVES = 500_000, 1_000
 
@@ -115,7 +115,7 @@ def _hits(points: DataFrame, items: DataFrame, exact: bool, bound: int, leaf_siz
 
     Up to `bound` items (counted; of some 100 bytes) are sent to all tasks as one hierarchy. More of them are put in the order of
     the Hilbert curve, in which `leaf_size` neighbours make a leaf, however many share a centre. Leaves are found by this same function, for their
-    boxes are items in turn, a two-thousandth as many; so each point meets each item of its leaves, whatever the number of levels.
+    boxes are items in turn, far fewer; so each point meets each item of its leaves, whatever the number of levels.
     """
     few = items.limit(bound + 1).toArrow() if least <= bound else None
     if few is not None and few.num_rows <= bound:
@@ -137,10 +137,12 @@ def _hits(points: DataFrame, items: DataFrame, exact: bool, bound: int, leaf_siz
     placed = items.withColumn("_at", along(middle("x"), middle("y")))
     ordered = placed.repartitionByRange("_at", "region").sortWithinPartitions("_at", "region")
     # Numbers run within each partition: the upper bits are the partition's.
-    leaves = materialize(ordered.withColumn("_n", F.monotonically_increasing_id()).withColumn("leaf", F.expr(f"shiftleft(shiftright(_n, 33), 33) + pmod(_n, shiftleft(1L, 33)) div {leaf_size}")).drop("_at", "_n"), "leaves")
+    leaves = ordered.withColumn("_n", F.monotonically_increasing_id()).withColumn("leaf", F.expr(f"shiftleft(shiftright(_n, 33), 33) + pmod(_n, shiftleft(1L, 33)) div {leaf_size}"))
+    leaves = materialize(leaves.withColumn("part", F.expr(f"pmod(_n, shiftleft(1L, 33)) div {max(1, leaf_size // PARTS)}")).drop("_at", "_n"), "leaves")
     low = lambda a: F.min(F.least(*(f"{c}{a}" for c in held)))
     high = lambda a: F.max(F.greatest(*(f"{c}{a}" for c in held)))
-    boxes = leaves.groupBy(F.col("leaf").alias("region")).agg(low("x").alias("ax"), low("y").alias("ay"), high("x").alias("bx"), high("y").alias("by"))
+    # A leaf has a box for each of its PARTS, so that a point between them does not travel to it.
+    boxes = leaves.groupBy(F.col("leaf").alias("region"), "part").agg(low("x").alias("ax"), low("y").alias("ay"), high("x").alias("bx"), high("y").alias("by"))
     boxes, most = materialize_counted(boxes.select("region", F.struct(F.lit(0).alias("none")).alias("i"), "ax", "ay", "bx", "by", F.lit(0).cast("long").alias("cx"), F.lit(0).cast("long").alias("cy")), "boxes")
     numbered = points.select(F.struct("p", "x", "y", F.monotonically_increasing_id().alias("row")).alias("p"), "x", "y")
     routed, n = materialize_counted(_hits(numbered, boxes, False, max(bound, 2 * partitions(points.sparkSession)), leaf_size, least=most).select("p", F.col("region").alias("leaf")), "routed")
@@ -154,8 +156,8 @@ def _hits(points: DataFrame, items: DataFrame, exact: bool, bound: int, leaf_siz
     both = left.unionByName(right).repartition("leaf", "salt").sortWithinPartitions("leaf", "salt", "side")
     pairs = both.mapInArrow(_leafwise(exact), _pair_schema(routed, items))
     met = decide(pairs.select("p.p", "i", "region", F.col("p.row").alias("_row")))
-    # Triangles of one region may lie in several leaves; boxes lie in one.
-    return (met.dropDuplicates(["_row", "region"]) if exact else met).select("p", "i", "region")
+    # Items of one region may lie in several leaves.
+    return met.dropDuplicates(["_row", "region"]).select("p", "i", "region")
 
 
 def _pair_schema(points: DataFrame, items: DataFrame) -> str:
