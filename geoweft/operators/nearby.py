@@ -24,7 +24,7 @@ CORNERS = ["ax", "ay", "bx", "by", "cx", "cy"]
 CORNER_SCHEMA = ", ".join(f"{c} long" for c in CORNERS)
 #: Most items that are collected and sent to all tasks.
 BOUND = 50_000
-#: Items of a leaf, whose hierarchy is built in one task, and boxes by which points find a leaf.
+#: Items of a leaf, whose hierarchy is built in one task, and boxes by which points find a leaf; a box is of four items at least, so that levels end.
 LEAF_ITEMS, PARTS = 4_096, 64
 #: Points that one task takes of a leaf, unless that made more than HOT_LEAVES leaves hot.
 POINTS_PER_TASK, HOT_LEAVES = 500_000, 1_000
@@ -138,7 +138,7 @@ def _hits(points: DataFrame, items: DataFrame, exact: bool, bound: int, leaf_siz
     ordered = placed.repartitionByRange("_at", "region").sortWithinPartitions("_at", "region")
     # Numbers run within each partition: the upper bits are the partition's.
     leaves = ordered.withColumn("_n", F.monotonically_increasing_id()).withColumn("leaf", F.expr(f"shiftleft(shiftright(_n, 33), 33) + pmod(_n, shiftleft(1L, 33)) div {leaf_size}"))
-    leaves = materialize(leaves.withColumn("part", F.expr(f"pmod(_n, shiftleft(1L, 33)) div {max(1, leaf_size // PARTS)}")).drop("_at", "_n"), "leaves")
+    leaves = materialize(leaves.withColumn("part", F.expr(f"pmod(_n, shiftleft(1L, 33)) div {max(4, leaf_size // PARTS)}")).drop("_at", "_n"), "leaves")
     low = lambda a: F.min(F.least(*(f"{c}{a}" for c in held)))
     high = lambda a: F.max(F.greatest(*(f"{c}{a}" for c in held)))
     # A leaf has a box for each of its PARTS, so that a point between them does not travel to it.
