@@ -388,6 +388,35 @@ def test_violations_are_found(spark, tmp_path):
     assert got == {i: want for i, _, want in faults if want}
 
 
+def test_store_rules_groups_and_checksums(folder, spark, tmp_path):
+    """Own area rules reach geometries; options order features within a tile; a value that flips is found by its tile's checksum."""
+    tagged = [n(30 + i, i * M, 0, {"amenity": "x"} if i % 2 else {"shop": "y"}) for i in range(12)]
+    g = Graph.load(spark, folder(nodes=NODES + tagged, ways=[w(1, [1, 2, 3, 4, 1], {"foo": "bar"}), w(2, [1, 2, 3, 4, 1], {"building": "yes"})]))
+    s = Store.build(g, str(tmp_path / "s"), BuildOptions(areas="foo", min_tile_density=1_000, max_key_indexes=2, key_index_min_features=3, rtree_branch_size=4))
+    ways = {x.id: (x.is_area, x.itype, x.whole) for x in s.features("wa").collect()}
+    assert ways == {1: (True, "a", "polygon"), 2: (False, "w", "line")}
+    points = s.features("n").collect()
+    assert len({x.key_group for x in points}) == 2 and all(sum(y.leaf == x.leaf and y.key_group == x.key_group and y.tile == x.tile for y in points) <= 4 for x in points)
+    assert s.violations().count() == 0
+    broken = s.table("features").withColumn("tags", F.when(F.col("id") == 31, F.create_map(F.lit("amenity"), F.lit("z"))).otherwise(F.col("tags")))
+    broken.write.partitionBy("itype").parquet(str(tmp_path / "broken"))
+    os.rename(tmp_path / "s" / "features", tmp_path / "whole")
+    os.rename(tmp_path / "broken", tmp_path / "s" / "features")
+    found = [x.problem for x in s.violations().collect()]
+    assert found == ["checksum differs: 0/0/0"]
+
+
+def test_change_archive_round_trip(spark, tmp_path):
+    tags = [("k", "a\n\t<&>'\""), (None, "x"), ("y", None)]
+    ch = [{"seq": s, "ftype": "node", "id": s, "version": s % 3 or None, "op": " DELETE" if s % 4 == 0 else None, "lat": 1.5, "lon": -2.0, "tags": tags} for s in range(50)] + [{"seq": 99, "ftype": None, "id": 1}]
+    from .conftest import fill
+
+    osm.write_changes(spark.createDataFrame(fill(stream.SCHEMA, ch), stream.SCHEMA).repartition(5), str(tmp_path / "archive"))
+    back = osc.read_changes(spark, str(tmp_path / "archive")).orderBy("seq").collect()
+    assert [(x.id, x.version, x.is_deleted) for x in back] == [(s, s % 3 or None, s % 4 == 0) for s in range(50)]
+    assert all([tuple(t) for t in x.tags] == tags[:1] and (x.x, x.y) == mercator.project(-2, 1.5) for x in back)
+
+
 def test_store_and_commands(graph, spark, tmp_path, folder, capsys):
     source = os.path.dirname(graph.tables["node"].inputFiles()[0].removeprefix("file://")).rsplit("/", 1)[0]
     s = str(tmp_path / "store")
